@@ -144,7 +144,7 @@ def _subsets(most: int, num: int, den: int):
                 values = words.mix(np.array(small, dtype=np.int64).view(np.uint64) ^ SHORT)
                 total = values.sum(dtype=np.uint64)
                 for lo, hi, out in plans.setdefault(n, subset_plans(n, most, num, den)):
-                    picks = np.array(list(combinations(range(n), out)), dtype=np.int64).reshape(-1, out)
+                    picks = np.array(list(combinations(range(n), out)), dtype=np.int64).reshape(comb(n, out), out)
                     made = total - values[picks].sum(axis=1, dtype=np.uint64)
                     keys.append(made.view(np.int64))
                     for to, x in ((los, lo), (his, hi), (big, n == hi), (ids, cid)):
