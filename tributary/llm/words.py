@@ -76,6 +76,13 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * back)
 
 
+def spans(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of words, in the way of rolling()."""
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * powers(ROLL, len(words)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(inverse(ROLL), len(words) + 1)[starts])
+
+
 def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     """pick (minimum or maximum) of every ``width`` neighbours."""
     out, have = values, 1
