@@ -13,6 +13,7 @@ gives an empty result.  Columns other than doc_id and text are not looked at.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,6 +151,20 @@ def _merge(size: int):
     return run
 
 
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        widths = batch.column("id_bytes").to_pylist()
+        sums = [zlib.crc32(np.frombuffer(ids.as_buffer(), f"<u{w}").astype("<u4")) for ids, w in zip(batch.column("ids"), widths)]
+        names = [n for n in batch.schema.names if n not in ("ids", "id_bytes")]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sums, pa.int64())], [*names, "ids_crc32"])
+
+
+def checksums(pieces: DataFrame) -> DataFrame:
+    """Pieces with the CRC-32 of their ids as 32-bit numbers, ids_crc32, in place of the ids."""
+    kept = [f"{c} long" for c in pieces.columns if c not in ("ids", "id_bytes")]
+    return pieces.mapInArrow(_checked, ", ".join([*kept, "ids_crc32 long"]))
+
+
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, size: int = 2048, open_windows: int = 64) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, doc_tokens, ids, id_bytes, sequence_id, offset.
 

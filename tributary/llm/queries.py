@@ -34,10 +34,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer())
-    # Each 16-bit id as 32 bits: its two bytes and two zero bytes.
-    wide = F.when(F.col("id_bytes") == 2, F.unhex(F.regexp_replace(F.hex("ids"), "(....)", "$10000"))).otherwise(F.col("ids"))
-    return pieces.select("doc_id", "start", "length", F.crc32(wide).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.checksums(packing.pack(table(spark, sf_dir, "documents"), tokenizer()))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

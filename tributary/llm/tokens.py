@@ -38,6 +38,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.letters = byte_letters()
         self.newline = self._whole("\n")
+        self.tails = {t: self._whole(t) for t in (",", ".")}
         self.seen: dict[str, bytes] = {}
         self.blank: set[str] = set()
         self._afresh()
@@ -71,12 +72,15 @@ class Encoder:
                     self.blank.add(piece)
                 continue
             head = piece[: len(piece) - len(tail)]
-            if word.isascii():
-                head = head.replace(" ", letters[32])
-            else:
-                head = head.encode().decode("latin-1").translate(letters)
-            ids = [t.id for t in tokenize(head)] + [t.id for t in (tokenize(tail) if tail else ())]
-            self.seen[piece] = np.array(ids, dtype=self.kind).tobytes()
+            ids = self.seen.get(head)
+            if ids is None:
+                if word.isascii():
+                    mapped = head.replace(" ", letters[32])
+                else:
+                    mapped = head.encode().decode("latin-1").translate(letters)
+                ids = self.seen[head] = np.array([t.id for t in tokenize(mapped)], dtype=self.kind).tobytes()
+            if tail:
+                self.seen[piece] = ids + self.tails[tail]
 
     def encode(self, text: str) -> bytes:
         cut = self.pieces(text)
@@ -89,7 +93,7 @@ class Encoder:
                 found = list(map(self.seen.get, cut))
             self._learn(list({p for p, ids in zip(cut, found) if ids is None}))
             found = [self.seen[p] if ids is None else ids for p, ids in zip(cut, found)]
-        if not self.blank.isdisjoint(cut):
+        if self.blank and not self.blank.isdisjoint(cut):
             return self._whole(text)
         return b"".join(found)
 
