@@ -5,8 +5,10 @@ least size splits them in light and heavy sets:
 
 * Two light sets link exactly if they share a subset of the least overlap that
   their sizes ask for, so light sets enumerate those subsets; sharing one is proof.
-* Heavy sets scan inverted lists.  A set is listed under its prefix, the least
-  few of its hashes, one of which every partner shares.
+* Heavy sets scan inverted lists.  A set is listed under its prefix, the first
+  few of its elements in one order for all sets, one of which every partner
+  shares.  The order is that of the hashes, but with the commonest elements last,
+  so that what very many documents hold makes no long lists.
 
 The boundary is the one of least cost: subsets enumerated below it, list entries
 scanned above it, both counted from the data.
@@ -45,7 +47,11 @@ from tributary.llm.graph import components
 #: Largest set that may count as light; the subsets of larger ones are too many.
 MOST_LIGHT = 40
 #: Pivots that each list is compared with before pairs across components.
-PIVOTS = 3
+PIVOTS = 2
+#: Elements put last in the order: at most so many, from so many sets on.  Any choice is exact.
+MOST_COMMON, COMMON = 65_536, 64
+#: Occurrences among the sets that a task counts together for it to report an element.
+REPORTED, COUNTED_TOGETHER = 4, 4_000_000
 BITS = [f"b{i}" for i in range(4)]
 SHORT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -67,6 +73,8 @@ def shingles(buffer: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
         whole = [words.rolling(word[first[k] : first[k + 1]], int(counts[k]))[0] for k in short]
         found = np.concatenate([found, words.mix(np.array(whole, dtype=np.uint64) ^ SHORT)])
         who = np.concatenate([who, short])
+    # Signed, as SQL compares them later.
+    found = found.view(np.int64)
     order = np.lexsort((found, who))
     found, who = found[order], who[order]
     new = np.ones(len(found), dtype=bool)
@@ -88,15 +96,15 @@ def _sketches(size: int, num: int, den: int):
                 first = np.concatenate([[0], np.cumsum(n)])
                 sums = []
                 for salt in (0x632BE59BD9B4E019, 0xD6E8FEB86659FD93):
-                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(found ^ np.uint64(salt)), dtype=np.uint64)])
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(found.view(np.uint64) ^ np.uint64(salt)), dtype=np.uint64)])
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
-                bits = np.bincount(who * 256 + (found & np.uint64(255)).astype(np.int64), minlength=256 * len(rows)) & 1
+                bits = np.bincount(who * 256 + (found & 255), minlength=256 * len(rows)) & 1
                 maps = np.packbits(bits.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
                 rank = np.arange(len(found)) - first[who]
-                head = prefix(n, num, den)
+                head = np.minimum(n, 2 * prefix(n, num, den))
                 taken = rank < head[who]
                 small = n[who] <= MOST_LIGHT
-                values = found.view(np.int64)
+                values = found
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("__f"), rows.column("__r"), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1])]
                     + [pa.array(maps[:, i].copy()) for i in range(4)]
@@ -107,13 +115,87 @@ def _sketches(size: int, num: int, den: int):
     return run
 
 
+def _common(num: int, den: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            often = n >= REPORTED
+            return pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(n[often].astype(np.int64))], ["tok", "n"])
+
+        for batch in batches:
+            values = np.asarray(batch.column("head").flatten())
+            held.append(values)
+            size += len(values)
+            if size > COUNTED_TOGETHER:
+                yield counted()
+                held, size = [], 0
+        if held:
+            yield counted()
+
+    return run
+
+
+def _heads(num: int, den: int, common):
+    """The prefix of each set under the order with common elements last; null where more than is stored is needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = common.value
+        for batch in batches:
+            n = np.asarray(batch.column("n"))
+            need = prefix(n, num, den)
+            head = batch.column("head")
+            size = np.diff(np.frombuffer(head.buffers()[1], np.int32)[head.offset : head.offset + len(head) + 1])
+            values = np.asarray(head.flatten())
+            rare = ~np.isin(values, last) if len(last) else np.ones(len(values), dtype=bool)
+            owner = words.owners(size)
+            before = np.cumsum(rare) - rare
+            first = np.concatenate([[0], np.cumsum(size)])[:-1]
+            base = before[np.minimum(first, max(len(values) - 1, 0))] if len(values) else first
+            rank = before - base[owner]
+            taken = rare & (rank < need[owner])
+            have = np.bincount(owner[taken], minlength=len(n))
+            known = (have == need) | (size == n)
+            # With the whole set stored, common elements fill the prefix up.
+            spare = ~rare & ((size == n) & (have < need))[owner]
+            late = np.cumsum(spare) - spare
+            late = late - (late[np.minimum(first, max(len(values) - 1, 0))] if len(values) else first)[owner]
+            filled = spare & (late < (need - have)[owner])
+            order = np.lexsort((np.arange(len(values)), filled, owner))
+            order = order[(taken | filled)[order]]
+            sizes = np.bincount(owner[order], minlength=len(n))
+            made = lists(values[order], sizes, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), made, pa.array(known)], ["cid", "n", "head", "known"])
+
+    return run
+
+
+def _long_heads(size: int, num: int, den: int, common):
+    """Prefixes of sets made anew from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = common.value
+        for batch in batches:
+            for rows, buffer, offsets in texts(batch):
+                found, who = shingles(buffer, offsets, size)
+                n = np.bincount(who, minlength=len(rows))
+                order = np.lexsort((found, np.isin(found, last), who))
+                rank = np.arange(len(found)) - np.concatenate([[0], np.cumsum(n)])[who]
+                need = prefix(n, num, den)
+                made = lists(found[order][rank < need[who]], need, pa.int64())
+                yield pa.RecordBatch.from_arrays([rows.column("cid"), pa.array(n.astype(np.int32)), made], ["cid", "n", "head"])
+
+    return run
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buffer, offsets in texts(batch):
                 found, who = shingles(buffer, offsets, size)
                 n = np.bincount(who, minlength=len(rows))
-                yield pa.RecordBatch.from_arrays([rows.column("cid"), lists(found.view(np.int64), n, pa.int64())], ["cid", "elements"])
+                yield pa.RecordBatch.from_arrays([rows.column("cid"), lists(found, n, pa.int64())], ["cid", "elements"])
 
     return run
 
@@ -197,9 +279,22 @@ class Join:
         self.classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         self.links = self.seen = None
 
+    def heads(self) -> DataFrame:
+        """cid, n, head: every class's prefix, common elements last."""
+        spark, num, den = self.docs.sparkSession, self.num, self.den
+        counted = self.classes.select("head").mapInArrow(_common(num, den), "tok long, n long")
+        counted = counted.groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+        rows = counted.orderBy(F.desc("n"), "tok").limit(MOST_COMMON).collect()
+        common = spark.sparkContext.broadcast(np.array(sorted(r["tok"] for r in rows), dtype=np.int64))
+        made = materialise(self.classes.select("cid", "n", "head").mapInArrow(_heads(num, den, common), "cid long, n int, head array<long>, known boolean"), "heads")
+        short = materialise(made.where("not known").select("cid").join(self.classes.select("cid", "at"), "cid").select("cid", "at.__f", "at.__r"), "short")
+        near = bounded_join(self.docs.select("text", "__f", "__r"), short, ["__f", "__r"], "inner", 32)
+        anew = near.select("cid", "text").mapInArrow(_long_heads(self.size, num, den, common), "cid long, n int, head array<long>")
+        return made.where("known").select("cid", "n", "head").unionByName(anew)
+
     def entries(self) -> DataFrame:
         """Prefix entries of elements that more than one set lists."""
-        listed = self.classes.select("cid", "n", F.posexplode("head").alias("pos", "tok"))
+        listed = materialise(self.heads().select("cid", "n", F.posexplode("head").alias("pos", "tok")), "listed")
         shared = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         return materialise(listed.join(shared, "tok"), "entries")
 
@@ -224,14 +319,9 @@ class Join:
     def heavy(self, entries: DataFrame, most: int) -> None:
         num, den = self.num, self.den
         partners = entries.where(F.col("n") * den >= num * (most + 1)).drop("df")
-        # Sets in the same or the next band of sizes can link; a set's own band comes first.
+        # Sets in the same or the next band of sizes can link.
         band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
-        partners = partners.join(self.classes.select("cid", *BITS), "cid").withColumn("size_band", band)
-        self.listed = materialise(partners, "listed")
-        need = self.listed.select("cid").distinct().join(self.classes.select("cid", "at"), "cid")
-        need = materialise(need.select("cid", "at.__f", "at.__r"), "need")
-        found = bounded_join(self.docs.select("text", "__f", "__r"), need, ["__f", "__r"], "inner", 32)
-        self.sets = materialise(found.select("cid", "text").mapInArrow(_sets(self.size), "cid long, elements array<long>"), "sets")
+        self.listed = materialise(partners.withColumn("size_band", band), "partners")
         for k in range(PIVOTS):
             if not self.verify(self.pivots(k, most)):
                 break
@@ -246,13 +336,17 @@ class Join:
 
     def pivots(self, k: int, most: int) -> DataFrame:
         """Each set with the pivot most like it among its lists' pivots, from other components."""
+        num, den = self.num, self.den
         rows = materialise(self.rooted(), "rooted")
-        pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "pos", "root", *BITS)).alias("p")
-        lists_ = rows.groupBy("tok", "size_band").agg(F.min("root").alias("least"), F.max("root").alias("last"), pick).where("least <> last")
-        flat = lists_.select("tok", "size_band", *[F.col(f"p.{c}").alias(f"p{c}") for c in ("cid", "n", "pos", "root", *BITS)])
-        own = _renamed(rows, "o", ("tok", "size_band"))
-        both = own.join(flat, ["tok", "size_band"]).where((F.col("oroot") != F.col("proot")) & F.greatest("on", "pn").__gt__(most))
-        both = both.where(_allowed("o", "p", self.num, self.den) & _reachable("o", "p", self.num, self.den))
+        on = ["tok", "size_band"]
+        pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "pos", "root")).alias("p")
+        picked = rows.groupBy(on).agg(F.min("root").alias("least"), F.max("root").alias("last"), pick).where("least <> last")
+        flat = picked.select(*on, *[F.col(f"p.{c}").alias(f"p{c}") for c in ("cid", "n", "pos", "root")])
+        own = _renamed(rows, "o", tuple(on))
+        fits = (F.col("oroot") != F.col("proot")) & (F.greatest("on", "pn") > most) & _reachable("o", "p", num, den)
+        met = own.join(flat, on).where(fits).select("ocid", "pcid").distinct()
+        side = lambda x: self.classes.select(*[F.col(c).alias(x + c) for c in ("cid", "n", *BITS)])
+        both = met.join(side("o"), "ocid").join(side("p"), "pcid").where(_allowed("o", "p", num, den))
         apart = sum((F.bit_count(F.col(f"o{x}").bitwiseXOR(F.col(f"p{x}"))) for x in BITS), F.lit(0))
         nearest = both.groupBy("ocid").agg(F.min(F.struct(apart.alias("d"), F.col("pcid").alias("c"))).alias("best"))
         return nearest.select(F.least("ocid", "best.c").alias("a"), F.greatest("ocid", "best.c").alias("b")).distinct()
@@ -263,7 +357,8 @@ class Join:
         sized = rows.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("members"))
         large = sized.groupBy("tok").agg(F.max(F.struct("members", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         large = large.select("tok", F.col("top.root").alias("main"))
-        open_ = materialise(rows.join(large, "tok"), "open")
+        open_ = rows.join(large, "tok").join(self.classes.select("cid", *BITS), "cid")
+        open_ = materialise(open_, "open")
         minor = open_.where("root <> main").withColumn("band", F.explode(F.array(F.col("size_band") - 1, "size_band", F.col("size_band") + 1)))
         x, y = _renamed(minor, "x"), _renamed(open_.withColumn("band", F.col("size_band")), "y")
         once = (F.col("yroot") == F.col("ymain")) | (F.col("xcid") < F.col("ycid"))
@@ -273,16 +368,31 @@ class Join:
         return pairs.select(F.least("xcid", "ycid").alias("a"), F.greatest("xcid", "ycid").alias("b")).distinct()
 
     def verify(self, pairs: DataFrame) -> bool:
-        """Compare the full sets of new pairs; whether any linked."""
+        """Compare new pairs, first by their prefixes, then by their full sets; whether any linked."""
+        num, den = self.num, self.den
         if self.seen is not None:
             pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        a = self.sets.select(F.col("cid").alias("a"), F.col("elements").alias("of_a"))
-        b = self.sets.select(F.col("cid").alias("b"), F.col("elements").alias("of_b"))
-        both = pairs.join(a, "a").join(b, "b")
+        side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        # Up to the lesser of the prefixes' last elements both sets are fully known.
+        last = F.least(F.element_at("head_a", -1), F.element_at("head_b", -1))
+        known = both.withColumn("last", last)
+        x, y = (F.filter(f"head_{s}", lambda v: v <= F.col("last")) for s in "ab")
+        apart = F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))
+        fits = (F.col("n_a") + F.col("n_b") - apart) * (num + den) >= (F.col("n_a") + F.col("n_b")) * (2 * num)
+        near = materialise(known.where(fits).select("a", "b", "n_a", "n_b"), "near")
+        if near.isEmpty():
+            return False
+        need = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "at"), "cid")
+        need = materialise(need.select("cid", "at.__f", "at.__r"), "need")
+        found = bounded_join(self.docs.select("text", "__f", "__r"), need, ["__f", "__r"], "inner", 32)
+        sets = materialise(found.select("cid", "text").mapInArrow(_sets(self.size), "cid long, elements array<long>"), "sets")
+        a = sets.select(F.col("cid").alias("a"), F.col("elements").alias("of_a"))
+        b = sets.select(F.col("cid").alias("b"), F.col("elements").alias("of_b"))
         shared = F.size(F.array_intersect("of_a", "of_b"))
-        linked = both.where(shared * (self.num + self.den) >= (F.size("of_a") + F.size("of_b")) * self.num)
+        linked = near.join(a, "a").join(b, "b").where(shared * (num + den) >= (F.col("n_a") + F.col("n_b")) * num)
         linked = materialise(linked.select(F.col("a").alias("u"), F.col("b").alias("v")), "linked")
         if linked.isEmpty():
             return False
