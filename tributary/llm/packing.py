@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import bounded_join, materialise
+from tributary.llm.common import bounded_join, materialise, texts
 from tributary.llm.tokens import encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, part long, window long, offset long, whole boolean"
@@ -121,11 +121,15 @@ def _packed(path: str, end_id: int, size: int, open_windows: int):
 
         packer = Packer(size, open_windows, emit)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.concatenate([np.frombuffer(tokens.encode(text.as_py() or ""), dtype=tokens.kind), end])
-                packer.add((doc_id, len(ids)), ids)
-                if held > FLUSH_BYTES:
-                    yield flush()
+            for docs, buffer, offsets in texts(batch):
+                all_ids, counts = tokens.encode(buffer, offsets)
+                at = 0
+                for doc_id, count in zip(docs.column("doc_id").to_pylist(), counts.tolist()):
+                    ids = np.concatenate([all_ids[at : at + count], end])
+                    at += count
+                    packer.add((doc_id, len(ids)), ids)
+                    if held > FLUSH_BYTES:
+                        yield flush()
         packer.finish()
         if rows:
             yield flush()

@@ -29,8 +29,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import bounded_join, materialise
-from tributary.llm.tokens import encoder
+from tributary.llm.common import bounded_join, materialise, texts
+from tributary.llm.tokens import BatchEncoder, encoder
 
 MASK_DELTA = 0xA282EAD8
 HEAD, TAIL = struct.Struct("<QI"), struct.Struct("<I")
@@ -69,6 +69,15 @@ def parse(payload: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(payload, dtype=f"<u{width}", offset=LEAD.size)
 
 
+def _ids(batch: pa.RecordBatch, tokens: BatchEncoder) -> Iterator[tuple]:
+    for docs, buffer, offsets in texts(batch):
+        ids, counts = tokens.encode(buffer, offsets)
+        at = 0
+        for doc_id, count in zip(docs.column("doc_id").to_pylist(), counts.tolist()):
+            yield doc_id, ids[at : at + count]
+            at += count
+
+
 def _write(folder: str, path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -83,8 +92,8 @@ def _write(folder: str, path: str, end_id: int):
         with store.open_output_stream(f"{base}/{name}") as out:
             for batch in batches:
                 rows, pending, held = [], [], 0
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = tokens.encode(text.as_py() or "") + end
+                for doc_id, ids in _ids(batch, tokens):
+                    ids = ids.tobytes() + end
                     data = frame(serialise(doc_id, ids, tokens.kind.itemsize))
                     count = len(ids) // tokens.kind.itemsize
                     rows.append((f"{folder}/{name}", part, doc_id, at, len(data), count, before))

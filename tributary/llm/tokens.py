@@ -11,8 +11,10 @@ import os
 
 import numpy as np
 
-#: Pieces remembered in each Python worker, some 200 bytes each; then it starts afresh.
-REMEMBERED = 900_000
+from tributary.llm.words import hashes
+
+#: Pieces remembered in each Python worker, some 100 bytes each; then it starts afresh.
+REMEMBERED = 2_000_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -82,6 +84,22 @@ class Encoder:
             if tail:
                 self.seen[piece] = ids + self.tails[tail]
 
+    def pieces_of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of single pieces, as encode() cuts them."""
+        tails = {",": ",", ".": "."}
+        tokenize, letters, out = self.tokenizer.model.tokenize, self.letters, []
+        for piece in pieces:
+            tail = tails.get(piece[-1:], "") if len(piece) > 1 else ""
+            head = piece[:-1] if tail else piece
+            word = head[1:] if head[0] == " " else head
+            if not word.isalpha():
+                out.append(self._whole(piece))
+                continue
+            mapped = head.replace(" ", letters[32]) if word.isascii() else head.encode().decode("latin-1").translate(letters)
+            ids = np.array([t.id for t in tokenize(mapped)], dtype=self.kind).tobytes()
+            out.append(ids + self.tails[tail] if tail else ids)
+        return out
+
     def encode(self, text: str) -> bytes:
         cut = self.pieces(text)
         if cut is None:
@@ -98,11 +116,118 @@ class Encoder:
         return b"".join(found)
 
 
-_encoders: dict[str, Encoder] = {}
+class BatchEncoder:
+    """Encodes many texts at once, from their bytes laid end to end.
+
+    Pieces are told apart by 64-bit fingerprints and lengths, looked up in one
+    sorted array, and their ids copied from one flat array.  Texts with other
+    white space than single blanks and line ends are encoded as a whole.
+    """
+
+    def __init__(self, path: str):
+        self.plain = Encoder(path)
+        self.kind = self.plain.kind
+        self._afresh()
 
+    def _afresh(self) -> None:
+        self.plain._afresh()
+        self.keys = np.zeros(0, np.uint64)
+        self.which = np.zeros(0, np.int64)
+        self.at, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store = np.zeros(1 << 16, self.kind)
+        self.used = 0
 
-def encoder(path: str) -> Encoder:
+    @staticmethod
+    def odd(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that may hold other white space, or two white-space characters in a row."""
+        blank = (buffer == 32) | (buffer == 10)
+        bad = ((buffer >= 9) & (buffer <= 13) & ~blank) | ((buffer >= 28) & (buffer <= 31))
+        if len(buffer) > 1:
+            lead, follow = buffer[:-1], buffer[1:]
+            twice = blank[:-1] & blank[1:]
+            # Bytes that begin the characters of white space beyond ASCII.
+            wide = (lead == 0xC2) & ((follow == 0x85) | (follow == 0xA0)) | (lead == 0xE1) & (follow == 0x9A)
+            wide |= (lead == 0xE2) & ((follow == 0x80) | (follow == 0x81)) | (lead == 0xE3) & (follow == 0x80)
+            bad[:-1] |= twice | wide
+            edges = offsets[1:-1]
+            edges = edges[(edges > 0) & (edges < len(buffer))]
+            bad[edges - 1] &= ~(twice | wide)[edges - 1] | ((buffer[edges - 1] >= 9) & (buffer[edges - 1] <= 13) & ~blank[edges - 1])
+        total = np.concatenate([[0], np.cumsum(bad)])
+        return total[offsets[1:]] > total[offsets[:-1]]
+
+    def encode(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, end to end, and each text's count."""
+        n = len(offsets) - 1
+        odd = self.odd(buffer, offsets)
+        begins = np.zeros(len(buffer) + 1, dtype=bool)
+        begins[:-1] = (buffer == 32) | (buffer == 10)
+        begins[1:] |= np.append(buffer == 10, False)[:-1]
+        begins[offsets] = True
+        starts = np.flatnonzero(begins[:-1])
+        ends = np.append(starts[1:], len(buffer))
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        if odd.any():
+            kept = ~odd[doc]
+            starts, ends, doc = starts[kept], ends[kept], doc[kept]
+        keys = hashes(buffer, starts, ends) + (ends - starts).astype(np.uint64)
+        unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        place = self._lookup(unique, buffer, starts[first], ends[first])
+        which = place[inverse]
+        sizes = self.sizes[which]
+        # Copy every piece's ids to its place.
+        total = int(sizes.sum())
+        ahead = np.cumsum(sizes) - sizes
+        source = np.repeat(self.at[which] - ahead, sizes) + np.arange(total)
+        ids = self.store[source]
+        counts = np.bincount(doc, weights=sizes, minlength=n).astype(np.int64)
+        if not odd.any():
+            return ids, counts
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        parts = []
+        for k in range(n):
+            if odd[k]:
+                text = buffer[offsets[k] : offsets[k + 1]].tobytes().decode()
+                own = np.frombuffer(self.plain.encode(text), self.kind)
+                counts[k] = len(own)
+            else:
+                own = ids[bounds[k] : bounds[k + 1]]
+            parts.append(own)
+        return np.concatenate(parts) if parts else ids, counts
+
+    def _lookup(self, unique: np.ndarray, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of pieces in the flat array; those not met before are encoded."""
+        if len(self.keys) > REMEMBERED:
+            self._afresh()
+        found = np.searchsorted(self.keys, unique)
+        have = np.zeros(len(unique), dtype=bool)
+        inside = found < len(self.keys)
+        have[inside] = self.keys[found[inside]] == unique[inside]
+        out = np.empty(len(unique), dtype=np.int64)
+        out[have] = self.which[found[have]]
+        new = np.flatnonzero(~have)
+        if len(new):
+            data = buffer.tobytes()
+            made = self.plain.pieces_of([data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            sizes = np.array([len(m) for m in made], dtype=np.int64) // self.kind.itemsize
+            flat = np.frombuffer(b"".join(made), self.kind)
+            while self.used + len(flat) > len(self.store):
+                self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+            self.store[self.used : self.used + len(flat)] = flat
+            numbers = len(self.sizes) + np.arange(len(new))
+            self.at = np.concatenate([self.at, self.used + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.used += len(flat)
+            self.keys = np.insert(self.keys, found[new], unique[new])
+            self.which = np.insert(self.which, found[new], numbers)
+            out[new] = numbers
+        return out
+
+
+_encoders: dict[str, BatchEncoder] = {}
+
+
+def encoder(path: str) -> BatchEncoder:
     """The worker's encoder for a vocabulary file; made once."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = BatchEncoder(path)
     return _encoders[path]
