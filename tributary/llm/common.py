@@ -16,7 +16,7 @@ BROADCAST_LIMIT = 32 << 20
 #: White space of the word rules: space and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that the Python operators hold as arrays at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _working: list[str] = []
 _own_folder: str | None = None

@@ -73,10 +73,16 @@ def _minimisers(width: int):
                 most = words.sliding(top, span, np.maximum)[: len(grams)]
                 at = np.flatnonzero((most == grams) & (most > 0))
                 _, _, counts = words.find(buffer, offsets)
-                which = words.owners(counts)[at]
+                # A text reports each once, with how often it holds it.
+                which, value = words.owners(counts)[at], grams[at]
+                order = np.lexsort((value, which))
+                which, value = which[order], value[order]
+                new = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (value[1:] != value[:-1])))
+                times = np.diff(np.append(new, len(which)))
+                who = pa.array(which[new])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[at].view(np.int64)), rows.column("__f").take(pa.array(which)), rows.column("__r").take(pa.array(which))],
-                    ["least", "__f", "__r"],
+                    [pa.array(value[new].view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8)), rows.column("__f").take(who), rows.column("__r").take(who)],
+                    ["least", "times", "__f", "__r"],
                 )
 
     return run
@@ -208,10 +214,10 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, removed (word intervals), kept_text."""
     docs = with_row(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__f", "__r")
     row = ["__f", "__r"]
-    found = docs.select("text", *row).mapInArrow(_minimisers(width), "least long, __f long, __r long")
+    found = docs.select("text", *row).mapInArrow(_minimisers(width), "least long, times tinyint, __f long, __r long")
     found = materialise(found, "minimisers")
-    again = found.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("least")
-    hits = found.join(again, "least").groupBy(row).agg(F.collect_set("least").alias("again"))
+    again = found.groupBy("least").agg(F.sum("times").alias("n")).where("n > 1").select("least")
+    hits = found.join(again, "least").groupBy(row).agg(F.collect_list("least").alias("again"))
     hits = materialise(hits.withColumn("number", F.monotonically_increasing_id()), "hits")
     near = bounded_join(docs.select("text", *row), materialise(hits.select(row), "near"), row, "left_semi")
     near = materialise(near.join(hits, row).select("number", "text", "again"), "texts")
