@@ -49,9 +49,9 @@ MOST_LIGHT = 40
 #: Pivots that each list is compared with before pairs across components.
 PIVOTS = 2
 #: Elements put last in the order: at most so many, from so many sets on.  Any choice is exact.
-MOST_COMMON, COMMON = 65_536, 64
+MOST_COMMON, COMMON = 65_536, 48
 #: Occurrences among the sets that a task counts together for it to report an element.
-REPORTED, COUNTED_TOGETHER = 4, 4_000_000
+REPORTED, COUNTED_TOGETHER = 2, 4_000_000
 BITS = [f"b{i}" for i in range(4)]
 SHORT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,6 +87,17 @@ def prefix(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.where(n > 0, n - -(-num * n // den) + 1, 0)
 
 
+def wide_maps(found: np.ndarray, who: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of at least n / 2 bits, a power of two from 256, and their sizes in longs.
+
+    The first half XOR the second is the map of half the size.
+    """
+    bits = 2 ** np.ceil(np.log2(np.maximum(n, 512) / 2)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    odd = np.bincount(base[who] + (found & (bits[who] - 1)), minlength=base[-1]) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64), bits // 64
+
+
 def _sketches(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,6 +111,7 @@ def _sketches(size: int, num: int, den: int):
                     sums.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
                 bits = np.bincount(who * 256 + (found & 255), minlength=256 * len(rows)) & 1
                 maps = np.packbits(bits.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
+                wide, sizes = wide_maps(found, who, n)
                 rank = np.arange(len(found)) - first[who]
                 head = np.minimum(n, 2 * prefix(n, num, den))
                 taken = rank < head[who]
@@ -108,8 +120,8 @@ def _sketches(size: int, num: int, den: int):
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("__f"), rows.column("__r"), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1])]
                     + [pa.array(maps[:, i].copy()) for i in range(4)]
-                    + [lists(values[taken], head, pa.int64()), lists(values[small], np.where(n <= MOST_LIGHT, n, 0), pa.int64())],
-                    ["doc_id", "__f", "__r", "n", "s1", "s2", *BITS, "head", "small"],
+                    + [lists(values[taken], head, pa.int64()), lists(values[small], np.where(n <= MOST_LIGHT, n, 0), pa.int64()), lists(wide, sizes, pa.int64())],
+                    ["doc_id", "__f", "__r", "n", "s1", "s2", *BITS, "head", "small", "wide"],
                 )
 
     return run
@@ -271,10 +283,10 @@ class Join:
     def __init__(self, docs: DataFrame, size: int, num: int, den: int):
         self.size, self.num, self.den = size, num, den
         self.docs = with_row(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__f", "__r")
-        schema = "doc_id long, __f long, __r long, n int, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS) + ", head array<long>, small array<long>"
+        schema = "doc_id long, __f long, __r long, n int, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS) + ", head array<long>, small array<long>, wide array<long>"
         self.sketches = materialise(self.docs.mapInArrow(_sketches(size, num, den), schema), "sketches")
         same = self.sketches.where("n > 0").groupBy("n", "s1", "s2")
-        kept = [F.first(c).alias(c) for c in (*BITS, "head", "small")]
+        kept = [F.first(c).alias(c) for c in (*BITS, "head", "small", "wide")]
         classes = same.agg(F.min("doc_id").alias("first"), F.min(F.struct("__f", "__r")).alias("at"), *kept)
         self.classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         self.links = self.seen = None
@@ -368,21 +380,20 @@ class Join:
         return pairs.select(F.least("xcid", "ycid").alias("a"), F.greatest("xcid", "ycid").alias("b")).distinct()
 
     def verify(self, pairs: DataFrame) -> bool:
-        """Compare new pairs, first by their prefixes, then by their full sets; whether any linked."""
+        """Compare new pairs, first by their wide bitmaps, then by their full sets; whether any linked."""
         num, den = self.num, self.den
         if self.seen is not None:
             pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("head").alias(f"head_{x}"))
+        side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
-        # Up to the lesser of the prefixes' last elements both sets are fully known.
-        last = F.least(F.element_at("head_a", -1), F.element_at("head_b", -1))
-        known = both.withColumn("last", last)
-        x, y = (F.filter(f"head_{s}", lambda v: v <= F.col("last")) for s in "ab")
-        apart = F.size(x) + F.size(y) - 2 * F.size(F.array_intersect(x, y))
+        size = F.least(F.size("wide_a"), F.size("wide_b"))
+        xor = lambda x, y: x.bitwiseXOR(y)
+        fold = lambda m: F.when(F.size(m) > size, F.zip_with(F.slice(m, 1, size), F.slice(m, size + 1, size), xor)).otherwise(F.col(m))
+        apart = F.aggregate(F.zip_with(fold("wide_a"), fold("wide_b"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, v: s + v)
         fits = (F.col("n_a") + F.col("n_b") - apart) * (num + den) >= (F.col("n_a") + F.col("n_b")) * (2 * num)
-        near = materialise(known.where(fits).select("a", "b", "n_a", "n_b"), "near")
+        near = materialise(both.where(fits).select("a", "b", "n_a", "n_b"), "near")
         if near.isEmpty():
             return False
         need = near.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(self.classes.select("cid", "at"), "cid")
