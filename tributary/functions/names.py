@@ -271,4 +271,4 @@ def short_label(path: Column) -> Column:
 def fenced_json(reply: Column) -> Column:
     """What stands in the first fenced block of a reply, or the reply itself."""
     inner = F.regexp_extract(reply, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return F.trim(F.when(inner != "", inner).otherwise(reply))
+    return F.regexp_replace(F.when(inner != "", inner).otherwise(reply), r"^\s+|\s+$", "")
