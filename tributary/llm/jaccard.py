@@ -286,27 +286,31 @@ class Join:
         schema = "doc_id long, __f long, __r long, n int, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS) + ", head array<long>, small array<long>, wide array<long>"
         self.sketches = materialise(self.docs.mapInArrow(_sketches(size, num, den), schema), "sketches")
         same = self.sketches.where("n > 0").groupBy("n", "s1", "s2")
-        kept = [F.first(c).alias(c) for c in (*BITS, "head", "small", "wide")]
-        classes = same.agg(F.min("doc_id").alias("first"), F.min(F.struct("__f", "__r")).alias("at"), *kept)
+        classes = same.agg(F.min("doc_id").alias("first"), F.min(F.struct("__f", "__r")).alias("at"))
         self.classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        # What is kept of a class's set is that of one of its rows.
+        rows = self.sketches.select("__f", "__r", "n", *BITS, "head", "small", "wide")
+        of = materialise(self.classes.select("cid", "at.__f", "at.__r"), "of")
+        self.kept = bounded_join(rows, of, ["__f", "__r"], "inner", 32)
+        self.maps = materialise(self.kept.select("cid", "n", *BITS, "wide"), "maps")
         self.links = self.seen = None
 
     def heads(self) -> DataFrame:
         """cid, n, head: every class's prefix, common elements last."""
         spark, num, den = self.docs.sparkSession, self.num, self.den
-        counted = self.classes.select("head").mapInArrow(_common(num, den), "tok long, n long")
+        counted = self.kept.select("head").mapInArrow(_common(num, den), "tok long, n long")
         counted = counted.groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
         rows = counted.orderBy(F.desc("n"), "tok").limit(MOST_COMMON).collect()
         common = spark.sparkContext.broadcast(np.array(sorted(r["tok"] for r in rows), dtype=np.int64))
-        made = materialise(self.classes.select("cid", "n", "head").mapInArrow(_heads(num, den, common), "cid long, n int, head array<long>, known boolean"), "heads")
+        made = materialise(self.kept.select("cid", "n", "head").mapInArrow(_heads(num, den, common), "cid long, n int, head array<long>, known boolean"), "heads")
         short = materialise(made.where("not known").select("cid").join(self.classes.select("cid", "at"), "cid").select("cid", "at.__f", "at.__r"), "short")
         near = bounded_join(self.docs.select("text", "__f", "__r"), short, ["__f", "__r"], "inner", 32)
         anew = near.select("cid", "text").mapInArrow(_long_heads(self.size, num, den, common), "cid long, n int, head array<long>")
-        return made.where("known").select("cid", "n", "head").unionByName(anew)
+        return made.where("known").select("cid", "n", "head").unionByName(materialise(anew, "anew"))
 
     def entries(self) -> DataFrame:
         """Prefix entries of elements that more than one set lists."""
-        listed = materialise(self.heads().select("cid", "n", F.posexplode("head").alias("pos", "tok")), "listed")
+        listed = self.heads().select("cid", "n", F.posexplode("head").alias("pos", "tok"))
         shared = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         return materialise(listed.join(shared, "tok"), "entries")
 
@@ -320,7 +324,7 @@ class Join:
 
     def light(self, most: int) -> DataFrame:
         """Links between light sets: all that enumerate the same subset, tied to the least."""
-        subsets = self.classes.where(F.col("n") <= most).select("cid", "n", "small")
+        subsets = self.kept.where(F.col("n") <= most).select("cid", "n", "small")
         keys = subsets.mapInArrow(_subsets(most, self.num, self.den), "key long, lo int, hi int, larger boolean, cid long")
         keys = materialise(keys, "subsets")
         on = ["key", "lo", "hi"]
@@ -357,7 +361,7 @@ class Join:
         own = _renamed(rows, "o", tuple(on))
         fits = (F.col("oroot") != F.col("proot")) & (F.greatest("on", "pn") > most) & _reachable("o", "p", num, den)
         met = own.join(flat, on).where(fits).select("ocid", "pcid").distinct()
-        side = lambda x: self.classes.select(*[F.col(c).alias(x + c) for c in ("cid", "n", *BITS)])
+        side = lambda x: self.maps.select(*[F.col(c).alias(x + c) for c in ("cid", "n", *BITS)])
         both = met.join(side("o"), "ocid").join(side("p"), "pcid").where(_allowed("o", "p", num, den))
         apart = sum((F.bit_count(F.col(f"o{x}").bitwiseXOR(F.col(f"p{x}"))) for x in BITS), F.lit(0))
         nearest = both.groupBy("ocid").agg(F.min(F.struct(apart.alias("d"), F.col("pcid").alias("c"))).alias("best"))
@@ -369,7 +373,7 @@ class Join:
         sized = rows.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("members"))
         large = sized.groupBy("tok").agg(F.max(F.struct("members", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         large = large.select("tok", F.col("top.root").alias("main"))
-        open_ = rows.join(large, "tok").join(self.classes.select("cid", *BITS), "cid")
+        open_ = rows.join(large, "tok").join(self.maps.select("cid", *BITS), "cid")
         open_ = materialise(open_, "open")
         minor = open_.where("root <> main").withColumn("band", F.explode(F.array(F.col("size_band") - 1, "size_band", F.col("size_band") + 1)))
         x, y = _renamed(minor, "x"), _renamed(open_.withColumn("band", F.col("size_band")), "y")
@@ -386,7 +390,7 @@ class Join:
             pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        side = lambda x: self.classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
+        side = lambda x: self.maps.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         size = F.least(F.size("wide_a"), F.size("wide_b"))
         xor = lambda x, y: x.bitwiseXOR(y)
