@@ -23,12 +23,13 @@ from pyspark.sql import functions as F
 from tributary.llm.common import bounded_join, materialise, new_folder, with_row
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Settings of the stream: state on disk, bounded memory, no empty last batch.
+#: Settings of the stream: state on disk, bounded memory, no space reserved ahead, no empty last batch.
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": STORE,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
 }
 
