@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,9 @@ def shared_folder(spark: SparkSession) -> str:
     if base:
         return base.rstrip("/")
     if _own_folder is None:
-        _own_folder = "file://" + tempfile.mkdtemp(prefix="tributary-")
+        place = tempfile.mkdtemp(prefix="tributary-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        _own_folder = "file://" + place
     return _own_folder
 
 

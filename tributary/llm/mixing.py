@@ -42,8 +42,8 @@ def solve(totals: DataFrame, repetition: float | None, entropy: float | None) ->
     """
     low, high = 0, 1 << (LEVELS * JOBS)
     scale = float(high)
-    most = totals.agg(F.max("total").alias("m"))
-    shares = totals.crossJoin(F.broadcast(most)).select((F.col("total") / F.col("m")).alias("x"))
+    most = totals.agg(F.max("total")).first()[0] or 1
+    shares = totals.select((F.col("total") / F.lit(most)).alias("x"))
 
     def measured(points: list[int]) -> dict[int, float]:
         columns = []
@@ -78,12 +78,12 @@ def budgets(rows: DataFrame, repetition: float | None, entropy: float | None, bu
         raise ValueError("either a repetition limit or a target entropy is needed")
     totals = materialise(rows.groupBy("source").agg(F.sum("tokens").cast("long").alias("total")), "totals")
     a = solve(totals, repetition, entropy)
-    most = totals.agg(F.max("total").alias("m"), F.sum("total").alias("all"))
-    flat = totals.crossJoin(F.broadcast(most)).withColumn("w", F.pow(F.col("total") / F.col("m"), F.lit(a)))
-    sums = flat.agg(F.sum("w").alias("ws"))
-    flat = flat.crossJoin(F.broadcast(sums)).withColumn("weight", F.col("w") / F.col("ws"))
+    most = totals.agg(F.max("total")).first()[0] or 1
+    flat = totals.withColumn("w", F.pow(F.col("total") / F.lit(most), F.lit(a)))
+    whole = flat.agg(F.sum("w")).first()[0] or 1.0
+    flat = flat.withColumn("weight", F.col("w") / F.lit(whole))
     if budget is None:
-        own = F.greatest(F.col("total"), F.floor(F.col("m") * F.col("w") + 1e-6))
+        own = F.greatest(F.col("total"), F.floor(F.lit(most) * F.col("w") + 1e-6))
     else:
         own = F.floor(F.lit(budget) * F.col("weight"))
     return materialise(flat.select("source", "total", "weight", own.cast("long").alias("budget")), "budgets")
@@ -120,8 +120,8 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
     inside = Window.partitionBy("source", "dealt", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id", "__f", "__r"), "__f", "__r")
     ahead = F.coalesce(F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = used.withColumn("position", F.col("from") + ahead).where(F.col("position") < F.col("budget"))
-    whole = sources.agg(F.ceil(F.sum("budget") / F.lit(MIX_BLOCK_TOKENS)).alias("mix_blocks"))
-    used = used.crossJoin(F.broadcast(whole)).withColumn("place", F.col("position") / F.col("budget"))
+    mix_blocks = -(-(sources.agg(F.sum("budget")).first()[0] or 0) // MIX_BLOCK_TOKENS)
+    used = used.withColumn("place", F.col("position") / F.col("budget"))
     return used.select(
         "doc_id",
         "__f",
@@ -131,7 +131,7 @@ def mix(docs: DataFrame, repetition: float | None = 2.0, entropy: float | None =
         F.col("tokens").alias("n_tokens"),
         "epoch",
         "position",
-        F.floor(F.col("place") * F.col("mix_blocks")).alias("block"),
+        F.floor(F.col("place") * mix_blocks).alias("block"),
         "place",
     )
 

@@ -57,8 +57,9 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     named = [F.col(c) for c in ("record_id", "ts", "kind", "etag", "last_modified")]
     lean = records.select(*named, canonical(F.col("url")).alias("key"), F.coalesce("headers", F.array()).alias("headers"))
-    edges = records.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10_000).alias("edges"))
-    lean = lean.crossJoin(F.broadcast(edges)).withColumn("slice", F.size(F.filter(F.coalesce("edges", F.array()), lambda x: x < F.col("ts")))).drop("edges")
+    edges = records.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
+    edges = F.array(*[F.lit(e).cast("long") for e in sorted(set(edges))]).cast("array<long>")
+    lean = lean.withColumn("slice", F.size(F.filter(edges, lambda x: x < F.col("ts"))))
     lean = materialise(lean, "records")
 
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified"))
