@@ -51,7 +51,7 @@ PIVOTS = 2
 #: Elements put last in the order: at most so many, from so many sets on.  Any choice is exact.
 MOST_COMMON, COMMON = 65_536, 48
 #: Occurrences among the sets that a task counts together for it to report an element.
-REPORTED, COUNTED_TOGETHER = 2, 4_000_000
+REPORTED, COUNTED_TOGETHER = 2, 1_000_000
 BITS = [f"b{i}" for i in range(4)]
 SHORT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -154,7 +154,7 @@ def _heads(num: int, den: int, common):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = common.value
-        for batch in batches:
+        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, len(whole), 2000)):
             n = np.asarray(batch.column("n"))
             need = prefix(n, num, den)
             head = batch.column("head")
