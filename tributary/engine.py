@@ -12,9 +12,6 @@ from tributary.operators import aggregates, extract, graph, incremental, reports
 from tributary.operators.cut import cut
 from tributary.sources import files as sources
 
-SKIPPED_EDGES = ("yaml",)
-
-
 @dataclass
 class Analysis:
     """Tables of one run."""
@@ -41,6 +38,8 @@ class Analysis:
         groups = graph.strong_components(self.module_edges)
         lines = reports.module_graph_json(self.modules.select("identity", "pagerank_score", "layer"), self.module_edges.select("source", "target", "type"), groups, self.sha)
         lines.write.mode("overwrite").json(f"{folder}/module_graph_json")
+        lines = reports.lineage_json(self.data_nodes, self.transformations, self.lineage_edges, self.columns, self.sha)
+        lines.write.mode("overwrite").json(f"{folder}/lineage_graph_json")
 
     def overview(self) -> str:
         m = self.modules.withColumn("path", F.col("identity"))
@@ -115,8 +114,9 @@ class Engine:
         raw = found["edges"].select("source", "target", "type", "confidence_score", F.lit(None).cast("string").alias("source_module"))
         raw = raw.unionByName(extract.python_edges(python, constants).select(raw.columns)).unionByName(extract.config_edges(files).select(raw.columns))
         data, transformations, lineage = self._lineage(cut(raw), sources.seeds(files), found["columns"])
+        known = aggregates.complete_schema(data, aggregates.inferred_columns(found["columns"].select("target", "source")))
         warnings = graph.integrity(data, transformations, lineage)
-        return Analysis(sha, modules, edges, functions, data, transformations, lineage, found["columns"], cut(warnings), hashes, {"stale_overrides": stale, "operations": found["operations"]})
+        return Analysis(sha, modules, edges, functions, data, transformations, lineage, found["columns"], cut(warnings), hashes, {"stale_overrides": stale, "operations": found["operations"], "dataset_columns": known})
 
     def _lineage(self, raw: DataFrame, seeds: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Resolve datasets, drop self-loops, and type the nodes."""
@@ -185,7 +185,8 @@ class Engine:
         """Static summary: ten fields, the first ten functions."""
         own = found.functions.groupBy("path").agg(F.slice(F.sort_array(F.collect_set("signature")), 1, 10).alias("functions"))
         rows = found.modules.where(F.lower("identity").contains(module.lower())).orderBy("identity").limit(1)
-        return rows.join(own, "path", "left").select("identity", "language", "layer", "purpose", "complexity_score", "pagerank_score", "importance_score", "is_architectural_hub", "commit_count", "functions")
+        cited = names.citation(F.col("path"), F.lit("static_analysis"), F.lit(1.0), F.lit(1)).alias("citation")
+        return rows.join(own, "path", "left").select(cited, "identity", "language", "layer", "purpose", "complexity_score", "pagerank_score", "importance_score", "is_architectural_hub", "commit_count", "functions")
 
 
 def analyze(spark: SparkSession, root: str, **options) -> Analysis:

@@ -48,6 +48,29 @@ def module_graph_json(nodes: DataFrame, edges: DataFrame, groups: DataFrame, sha
     return out.withColumn("git_commit", F.lit(sha)).withColumn("schema_version", F.lit("1")).orderBy("section", "key").drop("key")
 
 
+def lineage_json(data: DataFrame, transformations: DataFrame, edges: DataFrame, columns: DataFrame, sha: str = "") -> DataFrame:
+    """The lineage graph as JSON lines in a stable order; columns' sources merged for each target."""
+    from tributary.operators.aggregates import merge_column_lineage
+
+    merged = merge_column_lineage(columns.select(F.concat_ws(".", "path", "target").alias("target"), "source"))
+    parts = (("data", data, ["identity"]), ("transformations", transformations, ["identity"]), ("edges", edges, ["source", "target"]), ("columns", merged, ["target"]))
+    out = None
+    for name, df, order in parts:
+        lines = df.select(F.lit(name).alias("section"), F.concat_ws("\x01", *order).alias("key"), F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])).alias("json"))
+        out = lines if out is None else out.unionByName(lines)
+    return out.withColumn("git_commit", F.lit(sha)).withColumn("schema_version", F.lit("1")).orderBy("section", "key").drop("key")
+
+
+def module_summaries(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, constants: DataFrame) -> DataFrame:
+    """One row for each file with what it defines and imports, in order, and its lines."""
+    gather = lambda df, name: df.groupBy("path").agg(F.sort_array(F.collect_set("name")).alias(name))
+    out = files.select("path", "language", F.struct(F.lit(1).alias("start"), (F.regexp_count("content", F.lit("\n")) + 1).alias("end")).alias("line_range"))
+    out = out.withColumn("docstring", F.lit(None).cast("string"))
+    for df, name in ((functions, "functions"), (classes, "classes"), (imports, "imports"), (constants, "constants")):
+        out = out.join(gather(df, name), "path", "left")
+    return out
+
+
 def mermaid(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Lines of a flowchart: nodes by role, dashed edges below confidence 0.5."""
     safe = lambda c: F.regexp_replace(c, r"[^A-Za-z0-9_]", "_")

@@ -382,6 +382,24 @@ def column_lineage_merge(spark, sf):
     return aggregates.merge_column_lineage(rows).select("target", F.array_join("sources", ",").alias("sources"))
 
 
+@query("""with c as (select distinct 'part:' || p_partkey as dataset, lower(p_brand) as "column" from part where p_partkey % 3 = 0 union select distinct p_partkey::varchar, lower(p_type) from part where p_partkey % 5 = 0)
+select 'part:' || p_partkey as identity, lower(p_brand) as "column", 0.7::double as confidence from part where p_partkey % 3 = 0
+union all select 'part:' || p_partkey, lower(p_type), 0.6 from part where p_partkey % 5 = 0 and p_partkey % 3 <> 0""")
+def schema_completion(spark, sf):
+    p = table(spark, sf, "part")
+    nodes = p.select(derived._id("part", "p_partkey").alias("identity"))
+    exact = p.where("p_partkey % 3 = 0").select(derived._id("part", "p_partkey").alias("dataset"), F.lower("p_brand").alias("column"))
+    loose = p.where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("dataset"), F.lower("p_type").alias("column"))
+    return aggregates.complete_schema(nodes, exact.union(loose))
+
+
+@query("select distinct 'part:' || p_partkey as dataset, lower(p_brand) as \"column\" from part where p_size <> 7")
+def inferred_columns(spark, sf):
+    p = table(spark, sf, "part")
+    source = F.concat(derived._id("part", "p_partkey"), F.lit("."), F.when(F.col("p_size") == 7, "*").otherwise(F.col("p_brand")))
+    return aggregates.inferred_columns(p.select(source.alias("source")))
+
+
 # Names
 
 CANON = with_("raws") + r""", n as (
@@ -727,6 +745,13 @@ def python_hashes(spark, sf):
     return extract.apply_udtf(corpus.python_files(spark), extract.PythonHashes)
 
 
+@query()
+def module_summaries(spark, sf):
+    files = corpus.python_files(spark).withColumn("language", names.language(F.col("path")))
+    parts = [extract.apply_udtf(files, f) for f in (extract.PythonFunctions, extract.PythonClasses, extract.PythonImports, extract.PythonConstants)]
+    return reports.module_summaries(files, *parts)
+
+
 @query()
 def python_io_edges(spark, sf):
     return extract.python_edges(corpus.python_files(spark))

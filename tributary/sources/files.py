@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import subprocess
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.functions import names
@@ -42,11 +42,14 @@ def _quoted(text: str) -> str:
 
 
 def in_reading_order(files: DataFrame) -> DataFrame:
-    """seq of SQL files: staging-like first, then the deeper, then by name; others after."""
+    """seq, a key to order files by: SQL first and of it staging-like, then the deeper, then by name.
+
+    A key, not a number, so that no task has to see all files.
+    """
     path = F.col("path")
     staging = F.lower(path).rlike("staging|stg|base|src|seed")
-    order = Window.orderBy(~path.endswith(".sql"), ~staging, -F.size(F.split(path, "/")), path)
-    return files.withColumn("seq", F.row_number().over(order))
+    key = F.struct((~path.endswith(".sql")).alias("other"), (~staging).alias("late"), (-F.size(F.split(path, "/"))).alias("depth"), path.alias("path"))
+    return files.withColumn("seq", key)
 
 
 def _git(root: str, *args: str) -> str:
@@ -162,3 +165,20 @@ def read_trace(spark: SparkSession, path: str) -> DataFrame:
     """Events of a JSON-lines log; broken lines are left out."""
     schema = "schema_version string, timestamp timestamp, agent string, event_type string, target_file string, method string, confidence double, duration_ms long, metadata map<string,string>"
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")
+
+
+def artifact(root: str, catalog: dict[str, str], key: str, default: str) -> str:
+    """Where an artifact lies: by the catalogue, else the newest of its name, else the default."""
+    from pathlib import Path
+
+    named = catalog.get(key)
+    if named and Path(root, named).exists():
+        return str(Path(root, named))
+    stem, suffix = Path(default).stem, Path(default).suffix
+    newest = sorted(Path(root, "artifacts").glob(f"*{stem}*{suffix}"), key=lambda p: p.stat().st_mtime)
+    return str(newest[-1] if newest else Path(root, default))
+
+
+def evidence(files: DataFrame, characters: int = 4000) -> DataFrame:
+    """The beginning of each file, as evidence for what is said about it."""
+    return files.select("path", F.substring("content", 1, characters).alias("evidence"))
