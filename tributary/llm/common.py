@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -104,18 +106,28 @@ def bounded_join(left: DataFrame, right: DataFrame, on: list[str], how: str, wid
     return left.hint("merge").join(right, on, how)
 
 
-def texts(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES):
+def tidy() -> None:
+    """Give memory that is free back, as Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def texts(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES, rows: int = 1000):
     """Yield (slice of the batch, byte array, offsets), texts as UTF-8, null as empty."""
-    whole = pc.fill_null(batch.column(column), "").cast(pa.large_string())
-    ends = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
-    at = 0
-    while at < len(whole):
-        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
-        first, last = int(ends[at]), int(ends[upto])
+    for begin in range(0, len(batch), rows):
+        part = batch.slice(begin, rows)
+        whole = pc.fill_null(part.column(column), "").cast(pa.large_string())
+        ends = np.frombuffer(whole.buffers()[1], dtype=np.int64)[whole.offset : whole.offset + len(whole) + 1]
         data = whole.buffers()[2]
-        buffer = np.frombuffer(data, dtype=np.uint8)[first:last] if data is not None else np.zeros(0, np.uint8)
-        yield batch.slice(at, upto - at), buffer, ends[at : upto + 1] - first
-        at = upto
+        at = 0
+        while at < len(whole):
+            upto = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
+            first, last = int(ends[at]), int(ends[upto])
+            buffer = np.frombuffer(data, dtype=np.uint8)[first:last] if data is not None else np.zeros(0, np.uint8)
+            yield part.slice(at, upto - at), buffer, ends[at : upto + 1] - first
+            at = upto
+    tidy()
 
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:

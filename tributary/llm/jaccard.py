@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import words
-from tributary.llm.common import bounded_join, lists, materialise, texts, with_row
+from tributary.llm.common import bounded_join, lists, materialise, texts, tidy, with_row
 from tributary.llm.graph import components
 
 #: Largest set that may count as light; the subsets of larger ones are too many.
@@ -145,6 +145,7 @@ def _common(num: int, den: int):
                 held, size = [], 0
         if held:
             yield counted()
+        tidy()
 
     return run
 

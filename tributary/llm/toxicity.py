@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tributary.llm.common import tidy
+
 #: Most labelled documents of each class that the field is trained on.
 SAMPLE = 1000
 SAMPLE_CHARS = 100_000
 ROUNDS = 30
 #: Log odds from which a feature marks a toxic word, and documents it must be in.
 MARKED, LEAST_DOCS = 3.0, 3
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 CELLS = 300_000
 word_of = re.compile(r"\w+").findall
 
@@ -209,7 +211,7 @@ def train(docs: list[str], toxic: np.ndarray) -> Field:
 
     x = _adam(gradient, n + 4, ROUNDS, 0.3)
     out = Field(
-        weights={f: float(w) for f, w in zip(kept, x[:n]) if abs(w) > 1e-3},
+        weights={f: float(w) for f, w in zip(kept, x[:n]) if abs(w) > 0.01},
         bias=float(x[n]) - 4.0,
         moves=np.exp(np.array([[0.0, x[n + 1]], [x[n + 2], x[n + 3]]])),
     )
@@ -237,6 +239,7 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows.sort(key=lambda r: r["doc_id"])
     model = train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=float))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    tidy()
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
@@ -280,6 +283,8 @@ def _scored(shared):
                 arrays = [rows.column(c) for c in rows.schema.names if c != "text"]
                 names = [c for c in rows.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(model.score(tags)), pa.array(spans, kind)], [*names, "score", "spans"])
+        model.seen.clear()
+        tidy()
 
     return run
 
