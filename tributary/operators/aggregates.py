@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tributary.operators.cut import cut
+
 VELOCITY_DAYS = 30.0
 
 
@@ -61,9 +63,8 @@ def domain_counts(modules: DataFrame, domain: str = "domain") -> DataFrame:
 
 def domain_index(modules: DataFrame, domain: str = "domain", member: str = "path") -> DataFrame:
     """Members of each domain in order; one row each, so that a large domain is no single row."""
-    place = Window.partitionBy("domain").orderBy(member)
     rows = modules.select(F.coalesce(domain, F.lit("General")).alias("domain"), F.col(member).alias("member"))
-    return rows.withColumn("place", F.row_number().over(place.partitionBy("domain").orderBy("member")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy("member")))
 
 
 def majority_domain(produced: DataFrame) -> DataFrame:
@@ -99,10 +100,24 @@ def complete_schema(data: DataFrame, columns: DataFrame) -> DataFrame:
     return exact.select("identity", "column", "confidence").unionByName(loose)
 
 
+def running_total(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows before each, by ``order``.
+
+    Ranges of the order are summed by themselves and their totals, one for each
+    range, ahead of them, so no task has to see all rows.
+    """
+    ranged = cut(rows.repartitionByRange(order).withColumn("__range", F.spark_partition_id()))
+    totals = ranged.groupBy("__range").agg(F.sum(value).alias("__total"))
+    ahead = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__range", F.coalesce(F.sum("__total").over(ahead), F.lit(0.0)).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = ranged.join(totals, "__range")
+    return out.withColumn(name, F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0.0))).drop("__range", "__before")
+
+
 def budget_gate(calls: DataFrame, most: float = 1.0) -> DataFrame:
     """Which of the ordered calls (seq, cost) a budget still allows: those begun below it."""
-    before = F.coalesce(F.sum("cost").over(Window.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return calls.withColumn("spent", before).withColumn("allowed", F.col("spent") < most)
+    return running_total(calls, "seq", "cost", "spent").withColumn("allowed", F.col("spent") < most)
 
 
 def apply_overrides(modules: DataFrame, overrides: DataFrame) -> tuple[DataFrame, DataFrame]:

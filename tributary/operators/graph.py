@@ -7,7 +7,7 @@ the work is that of the edges reached, however many paths lead there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.functions import names
@@ -17,16 +17,21 @@ DAMPING = 0.85
 TRACE_DEPTH = 5
 
 
+def _chosen(rows: DataFrame, keys: list[str], pick, order: str) -> DataFrame:
+    """One row for each key; chosen by an aggregate, so tasks combine before anything is shuffled."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(pick(F.struct(*rest), F.col(order)).alias("__row"))
+    return best.select(*[c if c in keys else F.col(f"__row.{c}").alias(c) for c in rows.columns])
+
+
 def last_wins(edges: DataFrame, order: str = "seq") -> DataFrame:
     """One edge for each pair of ends, the one of the highest order."""
-    newest = Window.partitionBy("source", "target").orderBy(F.desc(order))
-    return edges.withColumn("__k", F.row_number().over(newest)).where("__k = 1").drop("__k")
+    return _chosen(edges, ["source", "target"], F.max_by, order)
 
 
 def first_wins(nodes: DataFrame, order: str = "seq") -> DataFrame:
     """One row for each identity, the one of the lowest order."""
-    oldest = Window.partitionBy("identity").orderBy(order)
-    return nodes.withColumn("__k", F.row_number().over(oldest)).where("__k = 1").drop("__k")
+    return _chosen(nodes, ["identity"], F.min_by, order)
 
 
 def with_virtual(nodes: DataFrame, edges: DataFrame) -> DataFrame:
