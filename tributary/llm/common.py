@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -71,6 +72,21 @@ def release(spark: SparkSession, keep: int = 0) -> None:
         delete(spark, _working.pop())
 
 
+def drop(df: DataFrame) -> None:
+    """Delete a working table that nothing will read any more."""
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        known = [path for path in _working if folder.endswith(path.rpartition("/tributary/")[2])]
+        for path in known:
+            delete(df.sparkSession, path)
+            _working.remove(path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Have the driver forget finished steps, so that their shuffle files are deleted."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def with_row(docs: DataFrame) -> DataFrame:
     """Add __f and __r, two longs that identify a row even where doc_id repeats.
 

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tributary.llm import words
-from tributary.llm.common import bounded_join, lists, materialise, texts, tidy, with_row
+from tributary.llm.common import bounded_join, drop, lists, materialise, settle, texts, tidy, with_row
 from tributary.llm.graph import components
 
 #: Largest set that may count as light; the subsets of larger ones are too many.
@@ -313,7 +313,9 @@ class Join:
         """Prefix entries of elements that more than one set lists."""
         listed = self.heads().select("cid", "n", F.posexplode("head").alias("pos", "tok"))
         shared = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        return materialise(listed.join(shared, "tok"), "entries")
+        found = materialise(listed.join(shared, "tok"), "entries")
+        drop(listed)
+        return found
 
     def split(self, entries: DataFrame) -> int:
         """The boundary; only sizes up to MOST_LIGHT are looked at, so a few rows reach the driver."""
@@ -339,8 +341,11 @@ class Join:
         # Sets in the same or the next band of sizes can link.
         band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
         self.listed = materialise(partners.withColumn("size_band", band), "partners")
+        drop(entries)
         for k in range(PIVOTS):
-            if not self.verify(self.pivots(k, most)):
+            more = self.verify(self.pivots(k, most))
+            settle(self.docs.sparkSession)
+            if not more:
                 break
         self.verify(self.across(most))
 
@@ -416,12 +421,18 @@ class Join:
         return True
 
     def result(self) -> DataFrame:
+        spark = self.docs.sparkSession
         entries = self.entries()
+        settle(spark)
         most = self.split(entries)
         light = materialise(self.light(most), "light")
         if not light.isEmpty():
             self.links = light
+        # Of the sketches, only what names each row's class is needed from here on.
+        plain = materialise(self.sketches.select("doc_id", "__f", "__r", "n", "s1", "s2"), "plain")
+        drop(self.sketches)
         self.heavy(entries, most)
+        settle(spark)
         named = self.classes.select("cid", "first", "n", "s1", "s2")
         if self.links is None:
             named = named.withColumn("component_id", F.col("first"))
@@ -431,7 +442,6 @@ class Join:
             least = named.groupBy("root").agg(F.min("first").alias("component_id"))
             named = named.join(least, "root")
         named = named.select("n", "s1", "s2", "component_id")
-        plain = self.sketches.select("doc_id", "__f", "__r", "n", "s1", "s2")
         out = plain.join(named, ["n", "s1", "s2"], "left")
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         return out.select("doc_id", "__f", "__r", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
