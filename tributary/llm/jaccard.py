@@ -313,7 +313,8 @@ class Join:
         """Prefix entries of elements that more than one set lists."""
         listed = self.heads().select("cid", "n", F.posexplode("head").alias("pos", "tok"))
         shared = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        found = materialise(listed.join(shared, "tok"), "entries")
+        # Written, so that the join deals both sides itself and can split a hot key.
+        found = materialise(listed.join(materialise(shared, "shared"), "tok"), "entries")
         drop(listed)
         return found
 
@@ -363,7 +364,7 @@ class Join:
         on = ["tok", "size_band"]
         pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "pos", "root")).alias("p")
         picked = rows.groupBy(on).agg(F.min("root").alias("least"), F.max("root").alias("last"), pick).where("least <> last")
-        flat = picked.select(*on, *[F.col(f"p.{c}").alias(f"p{c}") for c in ("cid", "n", "pos", "root")])
+        flat = materialise(picked.select(*on, *[F.col(f"p.{c}").alias(f"p{c}") for c in ("cid", "n", "pos", "root")]), "picked")
         own = _renamed(rows, "o", tuple(on))
         fits = (F.col("oroot") != F.col("proot")) & (F.greatest("on", "pn") > most) & _reachable("o", "p", num, den)
         met = own.join(flat, on).where(fits).select("ocid", "pcid").distinct()
@@ -378,7 +379,7 @@ class Join:
         rows = materialise(self.rooted(), "rooted")
         sized = rows.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("members"))
         large = sized.groupBy("tok").agg(F.max(F.struct("members", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        large = large.select("tok", F.col("top.root").alias("main"))
+        large = materialise(large.select("tok", F.col("top.root").alias("main")), "large")
         open_ = rows.join(large, "tok").join(self.maps.select("cid", *BITS), "cid")
         open_ = materialise(open_, "open")
         minor = open_.where("root <> main").withColumn("band", F.explode(F.array(F.col("size_band") - 1, "size_band", F.col("size_band") + 1)))

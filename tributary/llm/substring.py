@@ -217,6 +217,8 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     found = docs.select("text", *row).mapInArrow(_minimisers(width), "least long, times tinyint, __f long, __r long")
     found = materialise(found, "minimisers")
     again = found.groupBy("least").agg(F.sum("times").alias("n")).where("n > 1").select("least")
+    # Written, so that the join deals both sides itself and can split a hot key.
+    again = materialise(again, "again")
     hits = found.join(again, "least").groupBy(row).agg(F.collect_list("least").alias("again"))
     hits = materialise(hits.withColumn("number", F.monotonically_increasing_id()), "hits")
     near = bounded_join(docs.select("text", *row), materialise(hits.select(row), "near"), row, "left_semi")
@@ -234,7 +236,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     windows = materialise(windows, "windows")
     repeated = windows.groupBy("hash", "half").agg(F.sum("n").alias("n")).where("n > 1").select("hash", "half")
     # Only single stretches ask; the windows of others are repeated as they are.
-    single = windows.where("n = 1").join(repeated, ["hash", "half"])
+    single = windows.where("n = 1").join(materialise(repeated, "repeated"), ["hash", "half"])
     marks = single.groupBy("group").agg(F.bit_or(F.expr("shiftleft(1L, step)")).alias("flags"))
     every = F.expr("shiftleft(1L, windows) - 1L")
     flagged = groups.join(marks, "group", "left").withColumn("flags", F.when(F.col("n") > 1, every).otherwise(F.col("flags")))
