@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import exact, jaccard, mixing, packing, toxicity
-from tributary.llm.common import bounded_join, materialise, new_folder, release, with_row
+from tributary.llm.common import bounded_join, materialise, new_folder, release, settle, with_row
 from tributary.llm.queries import tokenizer
 
 
+def clean(spark: SparkSession) -> None:
+    """Delete what the stages before have left behind."""
+    release(spark)
+    settle(spark)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
-    release(spark)
+    clean(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     columns = docs.columns
     docs = with_row(docs)
@@ -28,25 +34,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal but for white space."""
-    release(spark)
+    clean(spark)
     return exact.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words, similarity 0.8 or more."""
-    release(spark)
+    clean(spark)
     return jaccard.keep_one(docs, size=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources up to twice, in the order of the mix."""
-    release(spark)
+    clean(spark)
     return mixing.mixed(docs, repetition=2.0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, with their ids and sequences."""
-    release(spark)
+    clean(spark)
     return packing.pack(docs, tokenizer())
 
 

@@ -23,6 +23,8 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that the Python operators hold as arrays at a time.
 SLICE_BYTES = 1 << 19
 
+ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 _working: list[str] = []
 _own_folder: str | None = None
 
@@ -54,7 +56,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    # Python functions get few rows at a time, as texts may be long.
+    before = spark.conf.get(ARROW_ROWS, None)
+    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(ARROW_ROWS) if before is None else spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

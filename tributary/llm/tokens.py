@@ -14,7 +14,7 @@ import numpy as np
 from tributary.llm.words import hashes
 
 #: Pieces remembered in each Python worker, some 100 bytes each; then it starts afresh.
-REMEMBERED = 1_200_000
+REMEMBERED = 700_000
 
 
 def byte_letters() -> dict[int, str]:
