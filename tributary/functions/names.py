@@ -23,6 +23,7 @@ NAMESPACES = {
 }
 # Directories that tell a layer, in order of precedence.
 LAYER_FOLDERS = (("agents", "agent"), ("models", "model"), ("utils", "utility"), ("graph", "graph"), ("analyzers", "analyzer"))
+# Purposes by a file's name, in order of precedence.
 PURPOSES = (
     (r"__init__\.py$", "Package initialization: Defines the module structure and exposes public interfaces for this directory."),
     (r"\.(toml|yml|yaml)$", "Configuration file: Defines project settings, dependencies, or environment-specific parameters."),
