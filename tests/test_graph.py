@@ -2,6 +2,7 @@ import pytest
 from conftest import rows
 
 from tributary.operators import graph
+from tributary.plans import catalogue, derived
 
 
 def edges(spark, pairs):
@@ -24,6 +25,23 @@ def test_reach_takes_the_shortest_way_and_ends_in_cycles(spark):
     assert rows(graph.trace(e, "d", upstream=True)) == [("a", 2), ("b", 2), ("c", 1)]
 
 
+def test_impact_and_importance_have_no_depth(spark, monkeypatch):
+    names = [f"n{i:02}" for i in range(14)]
+    e, nodes = edges(spark, list(zip(names, names[1:]))), ids(spark, names)
+    hit = graph.weighted_impact(e, nodes.selectExpr("identity", "100 as importance_score"), "n00")
+    assert {r.node: r.distance for r in hit.collect()} == {n: i for i, n in enumerate(names) if i}
+    monkeypatch.setattr(derived, "lineage_edges", lambda spark, sf: e)
+    monkeypatch.setattr(derived, "data_nodes", lambda spark, sf: nodes.selectExpr("identity", "'x' as namespace"))
+    monkeypatch.setattr(catalogue, "START", "n00")
+    assert catalogue.blast_radius_set(spark, "").count() == 13
+    assert catalogue.blast_radius_weighted(spark, "").count() == 13
+    assert catalogue.blast_radius_total(spark, "").first().affected == 13
+    # What is more than five hops away counts too.
+    monkeypatch.setattr(derived, "data_nodes", lambda spark, sf: ids(spark, [names[0]] + names[6:]))
+    whole = int(round(10 * (1 + sum(1.5**-k for k in range(6, 14))), 9))
+    assert dict(rows(catalogue.importance_distance_weighted(spark, "")))["n00"] == whole == 12
+
+
 def test_strong_components(spark):
     e = edges(spark, [("a", "b"), ("b", "a"), ("b", "c"), ("c", "d"), ("d", "c"), ("e", "e"), ("d", "f")])
     assert rows(graph.strong_components(e)) == [("a", "a"), ("b", "a"), ("c", "c"), ("d", "c")]

@@ -150,7 +150,7 @@ class Engine:
             dynamic.alias("is_dynamic_reference"), names.dataset_confidence(found.cast("int"), F.lit(False), dynamic).alias("dataset_type_confidence"),
         )
         data = graph.roles(data, flow)
-        data = cut(data.join(graph.distance_importance(data, flow, depth=10), "identity"))
+        data = cut(data.join(graph.distance_importance(data, flow), "identity"))
         code = flow.select(F.col("source").alias("identity")).union(flow.select("target")).distinct().join(data, "identity", "left_anti")
         code = code.where(~F.col("identity").rlike(r"\.ya?ml$"))
         script = F.col("identity").endswith(".py")

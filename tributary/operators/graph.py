@@ -73,7 +73,7 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = TRACE_DEPTH,
     return seen.where("distance > 0")
 
 
-def trace(edges: DataFrame, start: str, upstream: bool = False, depth: int = TRACE_DEPTH) -> DataFrame:
+def trace(edges: DataFrame, start: str, upstream: bool = False, depth: int | None = TRACE_DEPTH) -> DataFrame:
     """node, distance of a dataset's lineage in one direction."""
     origin = edges.sparkSession.createDataFrame([(start,)], "identity string")
     return reach(edges, origin, depth, upstream).select("node", "distance")
@@ -99,7 +99,7 @@ def unified(edges: DataFrame, node: str) -> DataFrame:
     return at.select(way.alias("direction"), "source", "target", "type", "confidence_score").crossJoin(F.broadcast(flags))
 
 
-def weighted_impact(edges: DataFrame, nodes: DataFrame, start: str, depth: int = 10) -> DataFrame:
+def weighted_impact(edges: DataFrame, nodes: DataFrame, start: str, depth: int | None = None) -> DataFrame:
     """Everything downstream with importance times the decay of distance, and a citation."""
     reached = trace(edges, start, depth=depth)
     known = nodes.select(F.col("identity").alias("node"), "importance_score")

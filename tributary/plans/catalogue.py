@@ -61,7 +61,7 @@ def unified_lineage(spark, sf):
 
 @query(_trace_sql(10) + " select node from reached")
 def blast_radius_set(spark, sf):
-    return graph.trace(derived.lineage_edges(spark, sf), START, depth=10).select("node")
+    return graph.trace(derived.lineage_edges(spark, sf), START, depth=None).select("node")
 
 
 WEIGHTED = _trace_sql(10) + """, scored as (
@@ -134,7 +134,7 @@ near as (select origin, node, min(distance) as d from walk group by all having m
 select identity, cast(least(100, floor(round((1 + coalesce(s, 0)) * 10, 9))) as int) as importance_score
 from data left join (select origin, sum(pow(1.5, -d)) as s from near where node in (select identity from data) group by origin) on origin = identity""")
 def importance_distance_weighted(spark, sf):
-    return graph.distance_importance(derived.data_nodes(spark, sf), derived.lineage_edges(spark, sf), depth=5)
+    return graph.distance_importance(derived.data_nodes(spark, sf), derived.lineage_edges(spark, sf))
 
 
 @query(with_("edges", "thin") + ", ends as (select source as identity from edges union select target from edges) select identity from thin where identity not in (select identity from ends)")
