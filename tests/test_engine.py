@@ -68,6 +68,23 @@ def test_lineage(found):
     assert {r.identity: r.role for r in found.data_nodes.collect()}["loaded_sales"] == "TERMINAL"
 
 
+def test_declared_sources_are_edges(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("declared")
+    (root / "s.yml").write_text("sources:\n  - name: crm\n    tables:\n      - name: people\n")
+    (root / "a.py").write_text("import pandas as pd\nx = pd.read_csv('in.csv')\n")
+    got = Engine(spark).analyze(str(root))
+    edge = {(r.source, r.target): r.type for r in got.lineage_edges.collect()}
+    assert edge[("s.yml", "people")] == "DBT_SOURCE"
+    assert {r.identity: r.role for r in got.data_nodes.collect()}["people"] == "SOURCE"
+    assert "s.yml" in {r.identity for r in got.transformations.collect()}
+    assert not {r.node for r in got.warnings.collect()} & {"people", "s.yml"}
+
+
+def test_the_mini_project_keeps_its_declared_edge(found):
+    e = {(r.source, r.target, r.type) for r in found.lineage_edges.collect()}
+    assert ("models/schema.yml", "sales", "DBT_SOURCE") in e
+
+
 def test_questions(spark, found):
     engine = Engine(spark)
     assert engine.query(found, "What breaks if I change helper.py?").count() >= 1

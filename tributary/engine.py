@@ -12,6 +12,9 @@ from tributary.operators import aggregates, extract, graph, incremental, reports
 from tributary.operators.cut import cut
 from tributary.sources import files as sources
 
+#: Files whose edges only declare a dataset.
+CONFIG = r"\.ya?ml$"
+
 @dataclass
 class Analysis:
     """Tables of one run."""
@@ -115,7 +118,8 @@ class Engine:
         raw = raw.unionByName(extract.python_edges(python, constants).select(raw.columns)).unionByName(extract.config_edges(files).select(raw.columns))
         data, transformations, lineage = self._lineage(cut(raw), sources.seeds(files), found["columns"])
         known = aggregates.complete_schema(data, aggregates.inferred_columns(found["columns"].select("target", "source")))
-        warnings = graph.integrity(data, transformations, lineage)
+        by_config = F.col("source").rlike(CONFIG)
+        warnings = graph.integrity(data, transformations, lineage.where(~by_config), declared=lineage.where(by_config))
         return Analysis(sha, modules, edges, functions, data, transformations, lineage, found["columns"], cut(warnings), hashes, {"stale_overrides": stale, "operations": found["operations"], "dataset_columns": known})
 
     def _lineage(self, raw: DataFrame, seeds: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -135,8 +139,7 @@ class Engine:
         resolved = resolved.select(F.coalesce("s", "source").alias("source"), F.coalesce("t", "target").alias("target"), "type", "confidence_score", "source_module").where("source <> target")
         sure = names.edge_confidence(F.col("confidence_score"), F.col("source_module"), F.col("source"), F.col("target"))
         edges = cut(graph.last_wins(resolved.withColumn("confidence_score", sure), "confidence_score"))
-        declared = edges.where(F.col("source").rlike(r"\.ya?ml$"))
-        flow = edges.join(declared.select("source", "target"), ["source", "target"], "left_anti")
+        flow = edges.where(~F.col("source").rlike(CONFIG))
 
         stems = columns.select(names.table_name(F.col("path")).alias("canon")).distinct().withColumn("discovered", F.lit(True))
         data = sets.groupBy(F.col("canon").alias("identity")).agg(F.min_by(F.struct("name", "namespace", "least"), "raw").alias("x")).select("identity", "x.*")
@@ -151,11 +154,10 @@ class Engine:
         )
         data = graph.roles(data, flow)
         data = cut(data.join(graph.distance_importance(data, flow), "identity"))
-        code = flow.select(F.col("source").alias("identity")).union(flow.select("target")).distinct().join(data, "identity", "left_anti")
-        code = code.where(~F.col("identity").rlike(r"\.ya?ml$"))
+        code = edges.select(F.col("source").alias("identity")).union(edges.select("target")).distinct().join(data, "identity", "left_anti")
         script = F.col("identity").endswith(".py")
         code = code.select("identity", names.basename(F.col("identity")).alias("name"), F.when(F.col("identity").startswith("cte:"), "CTE_SCOPE").when(script, "PYTHON_SCRIPT").otherwise("DBT_MODEL").alias("type"), F.when(script, "python").otherwise("dbt").alias("namespace"))
-        return data, cut(code), cut(flow.unionByName(declared.limit(0)))
+        return data, cut(code), edges
 
     def changed(self, now: Analysis, before: Analysis) -> DataFrame:
         """Paths to analyse again: changed ones, neighbours of changed signatures, and ones without a purpose."""

@@ -240,14 +240,15 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     return strong_components(edges).select("identity").union(loops).distinct()
 
 
-def integrity(data: DataFrame, transformations: DataFrame, edges: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+def integrity(data: DataFrame, transformations: DataFrame, edges: DataFrame, registry: DataFrame | None = None, declared: DataFrame | None = None) -> DataFrame:
     """Warnings (type, node, severity), one rule a table.
 
     data has identity and role; registry, if given, canonical_name and namespace.
     Each strongly connected component and each self-loop is one cycle.
+    declared: edges of configuration files; they link nodes but bear no data, so roles don't follow from them.
     """
     warn = lambda df, kind, severity: df.select(F.lit(kind).alias("type"), F.col("identity").alias("node"), F.lit(severity).alias("severity"))
-    deg = degrees(edges)
+    deg = degrees(edges if declared is None else edges.select("source", "target").union(declared.select("source", "target")))
     known = data.select("identity").union(transformations.select("identity"))
     loops = edges.where("source = target").select(F.col("source").alias("identity")).distinct()
     cycles = strong_components(edges).select(F.col("component").alias("identity")).distinct().union(loops)
