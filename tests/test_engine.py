@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tributary.engine import Engine
-from tributary.operators import aggregates, incremental, semantic, sql_lineage
+from tributary.operators import aggregates, incremental, reports, semantic, sql_lineage
 from tributary.sources import files
 from tributary.streaming import live
 
@@ -95,6 +95,13 @@ def test_questions(spark, found):
     assert found.brief().count() > 0
 
 
+def test_overview_is_whole_and_in_order(spark, found):
+    text = reports.overview({"Many": spark.range(450).selectExpr("450 - id as n", "'a|b' as t").orderBy("n")})
+    assert [x for x in text.splitlines() if "a\\|b" in x] == [f"| {n} | a\\|b |" for n in range(1, 451)]
+    debt = [(r.path, r.kind) for r in found.sections()["Debt"].collect()]
+    assert debt and debt == sorted(debt)
+
+
 def test_written_tables_read_again(spark, found, tmp_path):
     found.write(str(tmp_path))
     assert spark.read.parquet(str(tmp_path / "modules")).count() == found.modules.count()

@@ -44,18 +44,20 @@ class Analysis:
         lines = reports.lineage_json(self.data_nodes, self.transformations, self.lineage_edges, self.columns, self.sha)
         lines.write.mode("overwrite").json(f"{folder}/lineage_graph_json")
 
-    def overview(self) -> str:
+    def sections(self) -> dict[str, DataFrame]:
+        """The overview's tables, each in its order."""
         m = self.modules.withColumn("path", F.col("identity"))
-        return reports.overview(
-            {
-                "Critical path": graph.critical_path(self.module_edges).orderBy("place"),
-                "Sources and sinks": reports.sources_and_sinks(self.data_nodes),
-                "High velocity files": aggregates.high_velocity(m.select("path", "commit_count")),
-                "Inventory": reports.inventory(m),
-                "Debt": reports.debt(m),
-                "Purposes by domain": aggregates.domain_index(m, "domain", "path"),
-            }
-        )
+        return {
+            "Critical path": graph.critical_path(self.module_edges).orderBy("place"),
+            "Sources and sinks": reports.sources_and_sinks(self.data_nodes).orderBy("role", "name"),
+            "High velocity files": aggregates.high_velocity(m.select("path", "commit_count")),
+            "Inventory": reports.inventory(m),
+            "Debt": reports.debt(m).orderBy("path", "kind"),
+            "Purposes by domain": aggregates.domain_index(m, "domain", "path").orderBy("domain", "place"),
+        }
+
+    def overview(self) -> str:
+        return reports.overview(self.sections())
 
     def brief(self, k: int = 5) -> DataFrame:
         counts = {"modules": self.modules.count(), "module_edges": self.module_edges.count(), "datasets": self.data_nodes.count()}

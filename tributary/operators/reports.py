@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,11 +99,15 @@ def trace_filter(events: DataFrame, text: str, columns: list[str]) -> DataFrame:
     return events.where(hit)
 
 
-def overview(sections: dict[str, DataFrame], title: str = "Technical overview", most: int = 200) -> str:
-    """Markdown of the sections, at most so many rows of each; text for people."""
-    out = [f"# {title}"]
+def overview_lines(sections: dict[str, DataFrame], title: str = "Technical overview") -> Iterator[str]:
+    """Markdown of the sections, every row in the order of its table; the driver holds one partition at a time."""
+    yield f"# {title}"
     for name, df in sections.items():
-        rows = df.limit(most).collect()
-        out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
-        out += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows]
-    return "\n".join(out) + "\n"
+        yield from ("", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns))
+        for r in df.toLocalIterator():
+            yield "| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |"
+
+
+def overview(sections: dict[str, DataFrame], title: str = "Technical overview") -> str:
+    """The whole of overview_lines as one text."""
+    return "\n".join(overview_lines(sections, title)) + "\n"
