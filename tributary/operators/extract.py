@@ -131,6 +131,17 @@ class PythonFunctions:
                 yield n.name, f"{n.name}({ast.unparse(n.args)})", _paragraph(ast.get_docstring(n)), 1 + _branches(n), id(n) in inner, [ast.unparse(d) for d in n.decorator_list], n.lineno
 
 
+@udtf(returnType="docstring string")
+class PythonDocstring:
+    """A Python file's own docstring without blanks and quotes around it; no row without one."""
+
+    def eval(self, content: str) -> Iterator[tuple]:
+        tree = _tree(content)
+        doc = ast.get_docstring(tree, clean=False) if tree else None
+        if doc is not None:
+            yield (doc.strip("\"' \n\t"),)
+
+
 @udtf(returnType="name string, type string, line int")
 class PythonImports:
     """Imported modules, those under another name included."""

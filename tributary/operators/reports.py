@@ -63,11 +63,11 @@ def lineage_json(data: DataFrame, transformations: DataFrame, edges: DataFrame,
     return out.withColumn("git_commit", F.lit(sha)).withColumn("schema_version", F.lit("1")).orderBy("section", "key").drop("key")
 
 
-def module_summaries(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, constants: DataFrame) -> DataFrame:
-    """One row for each file with what it defines and imports, in order, and its lines."""
+def module_summaries(files: DataFrame, functions: DataFrame, classes: DataFrame, imports: DataFrame, constants: DataFrame, docstrings: DataFrame) -> DataFrame:
+    """One row for each file with its docstring, what it defines and imports, in order, and its lines."""
     gather = lambda df, name: df.groupBy("path").agg(F.sort_array(F.collect_set("name")).alias(name))
     out = files.select("path", "language", F.struct(F.lit(1).alias("start"), (F.regexp_count("content", F.lit("\n")) + 1).alias("end")).alias("line_range"))
-    out = out.withColumn("docstring", F.lit(None).cast("string"))
+    out = out.join(docstrings.groupBy("path").agg(F.min("docstring").alias("docstring")), "path", "left")
     for df, name in ((functions, "functions"), (classes, "classes"), (imports, "imports"), (constants, "constants")):
         out = out.join(gather(df, name), "path", "left")
     return out

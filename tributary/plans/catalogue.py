@@ -748,7 +748,7 @@ def python_hashes(spark, sf):
 @query()
 def module_summaries(spark, sf):
     files = corpus.python_files(spark).withColumn("language", names.language(F.col("path")))
-    parts = [extract.apply_udtf(files, f) for f in (extract.PythonFunctions, extract.PythonClasses, extract.PythonImports, extract.PythonConstants)]
+    parts = [extract.apply_udtf(files, f) for f in (extract.PythonFunctions, extract.PythonClasses, extract.PythonImports, extract.PythonConstants, extract.PythonDocstring)]
     return reports.module_summaries(files, *parts)
 
 
