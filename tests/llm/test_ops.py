@@ -411,6 +411,14 @@ def test_jaccard_edges(spark):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id and r.text and r.text.strip()) == [2, 4, 6]
 
 
+def test_jaccard_keeps_one_of_each_component_whatever_the_ids(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    data = [(1, words(1)), (1, words(2)), (None, words(3)), (None, words(3) + " more"), (None, words(4)), (7, words(4)), (5, words(5)), (6, words(5))]
+    kept = jaccard.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(r.text.split()[0] for r in kept) == [f"w{k}x0" for k in range(1, 6)]
+    assert {r.text.split()[0]: r.doc_id for r in kept} == {"w1x0": 1, "w2x0": 1, "w3x0": None, "w4x0": 7, "w5x0": 5}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (9, 8), (8, 7), (7, 6), (5, 5)], "u long, v long")
     assert rows(components(links)) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6), (8, 6), (9, 6)]

@@ -436,32 +436,33 @@ class Join:
         settle(spark)
         named = self.classes.select("cid", "first", "n", "s1", "s2")
         if self.links is None:
-            named = named.withColumn("component_id", F.col("first"))
+            named = named.withColumn("root", F.col("cid")).withColumn("component_id", F.col("first"))
         else:
             roots = materialise(components(self.links), "roots").withColumnRenamed("node", "cid")
             named = named.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
             least = named.groupBy("root").agg(F.min("first").alias("component_id"))
             named = named.join(least, "root")
-        named = named.select("n", "s1", "s2", "component_id")
+        named = named.select("n", "s1", "s2", "root", "component_id")
         out = plain.join(named, ["n", "s1", "s2"], "left")
         own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-        return out.select("doc_id", "__f", "__r", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
+        return out.select("doc_id", "__f", "__r", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"), "root")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, __f, __r, n_shingles, component_id of every row; sets link from num / den similarity."""
-    return Join(docs, size, num, den).result()
+    return Join(docs, size, num, den).result().drop("root")
 
 
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row of every component, that of the least doc_id, with all its columns.
+    """One row of every component, that of the least doc_id (nulls last), with all its columns.
 
-    Rows with an empty set stay, and so do components without any doc_id.
+    Components are told apart by their least class, as unlike rows may share a doc_id or have none.
+    Rows with an empty set stay.
     """
     columns = docs.columns
     docs = with_row(docs)
-    rows = materialise(jaccard_components(docs, size, num, den), "components")
-    rows = rows.where("n_shingles > 0 and component_id is not null")
-    best = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__f", "__r")).alias("k"))
+    rows = materialise(Join(docs, size, num, den).result(), "components")
+    rows = rows.where("n_shingles > 0")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__f", "__r")).alias("k"))
     lost = rows.join(best.select("k.__f", "k.__r"), ["__f", "__r"], "left_anti").select("__f", "__r")
     return bounded_join(docs, materialise(lost, "lost"), ["__f", "__r"], "left_anti", 24).select(columns)
