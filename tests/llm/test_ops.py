@@ -70,6 +70,20 @@ def test_encoders_equal_the_library():
     assert counts.tolist() == [len(i) for i in ids] and flat.tolist() == [x for i in ids for x in i]
 
 
+def test_added_tokens_are_encoded_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer())
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "one<|endoftext|>\ntwo three", "plain text", "<|endof", "text|>", "", "ß <|endoftext|><|endoftext|>."]
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [50256]
+    plain, batch = Encoder(tokenizer()), BatchEncoder(tokenizer())
+    assert [np.frombuffer(plain.encode(t), plain.kind).tolist() for t in texts] == ids
+    data = [t.encode() for t in texts]
+    flat, counts = batch.encode(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(d) for d in data])]))
+    assert counts.tolist() == [len(i) for i in ids] and flat.tolist() == [x for i in ids for x in i]
+
+
 # 1 chat
 
 

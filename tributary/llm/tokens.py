@@ -8,6 +8,7 @@ library encode the rest.  The ids are those of encoding the text at once.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
@@ -36,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self.letters = byte_letters()
         self.newline = self._whole("\n")
@@ -101,7 +102,7 @@ class Encoder:
         return out
 
     def encode(self, text: str) -> bytes:
-        cut = self.pieces(text)
+        cut = None if any(t in text for t in self.added) else self.pieces(text)
         if cut is None:
             return self._whole(text) if text else b""
         found = list(map(self.seen.get, cut))
@@ -121,7 +122,8 @@ class BatchEncoder:
 
     Pieces are told apart by 64-bit fingerprints and lengths, looked up in one
     sorted array, and their ids copied from one flat array.  Texts with other
-    white space than single blanks and line ends are encoded as a whole.
+    white space than single blanks and line ends, and texts that hold an added
+    token, are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -155,10 +157,19 @@ class BatchEncoder:
         total = np.concatenate([[0], np.cumsum(bad)])
         return total[offsets[1:]] > total[offsets[:-1]]
 
+    def marked(self, buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that may hold a token that the vocabulary file adds."""
+        out = np.zeros(len(offsets) - 1, dtype=bool)
+        # A pattern reads the array itself; bytes.find would need a copy of it.
+        for token in self.plain.added:
+            for m in re.finditer(re.escape(token.encode()), buffer):
+                out[np.searchsorted(offsets, m.start(), "right") - 1] = True
+        return out
+
     def encode(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and each text's count."""
         n = len(offsets) - 1
-        odd = self.odd(buffer, offsets)
+        odd = self.odd(buffer, offsets) | self.marked(buffer, offsets)
         begins = np.zeros(len(buffer) + 1, dtype=bool)
         begins[:-1] = (buffer == 32) | (buffer == 10)
         begins[1:] |= np.append(buffer == 10, False)[:-1]
