@@ -108,6 +108,11 @@ def test_written_tables_read_again(spark, found, tmp_path):
     assert spark.read.json(str(tmp_path / "module_graph_json")).count() > 0
 
 
+def test_the_overview_is_written(spark, found, tmp_path):
+    found.write(str(tmp_path))
+    assert "".join(p.read_text() for p in (tmp_path / "overview").glob("part-*")).rstrip("\n") == found.overview().rstrip("\n")
+
+
 def test_hashes(spark):
     from tributary.operators.extract import PythonHashes, apply_udtf
 

@@ -43,6 +43,8 @@ class Analysis:
         lines.write.mode("overwrite").json(f"{folder}/module_graph_json")
         lines = reports.lineage_json(self.data_nodes, self.transformations, self.lineage_edges, self.columns, self.sha)
         lines.write.mode("overwrite").json(f"{folder}/lineage_graph_json")
+        text = self.modules.sparkSession.createDataFrame([(self.overview(),)], "value string")
+        text.coalesce(1).write.mode("overwrite").text(f"{folder}/overview")
 
     def sections(self) -> dict[str, DataFrame]:
         """The overview's tables, each in its order."""
