@@ -399,12 +399,6 @@ def test_jaccard_against_brute_force(spark, size, num):
     assert got == brute_jaccard(texts, size, num, 100)
 
 
-def test_common_elements_lose_no_links(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "COMMON", 2)
-    monkeypatch.setattr(jaccard, "PIVOTS", 0)
-    test_jaccard_against_brute_force(spark, 3, 80)
-
-
 def test_subset_plans_cover_all_pairs():
     for num in (60, 80, 90):
         for n in range(1, 25):
@@ -468,3 +462,27 @@ def test_top_rows_against_brute_force(spark):
 def test_row_identity_survives_repeats(spark):
     r = with_row(odd_docs(spark)).select("__f", "__r")
     assert r.distinct().count() == 10
+
+
+def thue_morse(n):
+    """Two words of n letters that cancel out in every polynomial modulo a power of two."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_of_like_structure_are_told_apart(spark, n):
+    tail = " " + " ".join(f"t{i}" for i in range(34))
+    texts = [w + tail for w in thue_morse(n)]
+    table = docs(spark, texts)
+    data = [t.encode() for t in texts]
+    buffer = np.frombuffer(b"".join(data), np.uint8)
+    assert len(set(words.hashes(buffer, np.array([0, len(data[0])]), np.array([n, len(data[0]) + n])).tolist())) == 2
+    assert rows(jaccard.jaccard_components(table, 3, 96, 100).select("doc_id", "component_id")) == [(0, 0), (1, 1)]
+    assert [r.n_removed for r in substring.remove_repeats(table).collect()] == [0, 0]
+    library = Encoder(tokenizer()).tokenizer
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    index = records.write_records(table, new_folder(spark, "records"), tokenizer())
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in records.read_records(index).collect()}
+    assert got == {i: x + [2] for i, x in enumerate(ids)}
+    check_pieces(packing.pack(table.repartition(1), tokenizer()).collect(), dict(enumerate(texts)), 2048)

@@ -8,8 +8,8 @@ SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _rng = np.random.Generator(np.random.PCG64(20240517))
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = int(_rng.integers(2**60, 2**63)) | 1
+SEED = _rng.integers(1, 2**63, dtype=np.uint64)
+PLACE = _rng.integers(1, 2**63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 ROLL = int(_rng.integers(2**60, 2**63)) | 1
 _MASK = (1 << 64) - 1
 _powers: dict[int, np.ndarray] = {}
@@ -58,12 +58,41 @@ def lower(buffer: np.ndarray) -> np.ndarray:
     return np.where((buffer >= 65) & (buffer <= 90), buffer + np.uint8(32), buffer)
 
 
+#: What is kept of eight bytes when only the first 0 to 8 of them belong to a word.
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def eights(buffer: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of the buffer on, as one number each."""
+    padded = np.concatenate([buffer, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray(len(buffer) + 1, dtype="<u8", buffer=padded, strides=(1,))
+
+
+def chunks(whole: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut in eights: each eight, its place in its word, and each word's count; whole is eights(buffer)."""
+    sizes = ends - starts
+    counts = np.maximum((sizes + 7) >> 3, 1)
+    if int(counts.max(initial=1)) == 1:
+        return whole[starts] & KEPT[sizes], np.zeros(len(starts), np.int64), counts
+    step = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    left = np.repeat(sizes, counts) - 8 * step
+    return whole[np.repeat(starts, counts) + 8 * step] & KEPT[np.minimum(left, 8)], step, counts
+
+
 def hashes(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Fingerprint of every word: a polynomial over its bytes, then mixed."""
-    sums = np.zeros(len(buffer) + 1, dtype=np.uint64)
-    np.cumsum(BYTE_VALUE[buffer] * powers(BASE, len(buffer)), out=sums[1:])
-    back = powers(inverse(BASE), len(buffer) + 1)
-    return mix((sums[ends] - sums[starts]) * back[starts])
+    """Fingerprint of every word: eights mixed by themselves and with their places, summed and mixed with the length.
+
+    Mixing is what no sum of powers does: words of like structure don't cancel out.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    parts, step, counts = chunks(eights(buffer), starts, ends)
+    parts = mix(parts ^ SEED)
+    if len(parts) > len(starts):
+        later = np.flatnonzero(step)
+        parts[later] = mix(parts[later] ^ step[later].astype(np.uint64) * PLACE)
+        parts = np.add.reduceat(parts, np.cumsum(counts) - counts)
+    return mix(parts + (ends - starts).astype(np.uint64) * PLACE)
 
 
 def rolling(words: np.ndarray, width: int) -> np.ndarray:
