@@ -5,26 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import materialise
+from tributary.llm.common import bounded_join, materialise
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % F.lit(1_000_003))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none itself."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).unionByName(edges.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("to")))
+    told = ends.groupBy("node").agg(F.min("to").alias("a"), F.max("to").alias("b"), F.count("to").alias("n"), F.count(F.lit(1)).alias("all"))
+    return told.where("a <> b or (n > 0 and n < all)").isEmpty()
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """Each u's least v, written: a join with it can then be a broadcast of checked size or split hot keys."""
+    return materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Tie every larger neighbour of a node to the least of its neighbours and itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    tied = bounded_join(both.where("v > u"), _least(both), ["u"], "inner")
+    return tied.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Tie a node and its smaller neighbours to the least of them; u is the larger end."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(down)
+    tied = bounded_join(down, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -32,15 +39,11 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links(u, v); the root is its component's least node.
 
     Alternates large-star and small-star steps, with the tables of each round
-    written in the shared folder, until nothing changes.
+    written in the shared folder, until every node points at a root.
     """
-    edges = materialise(links.select("u", "v").where("u <> v").distinct(), "edges")
-    before = _state(edges)
-    while before[0]:
-        edges = materialise(_small(_large(edges)), "edges")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
+    edges = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    while not _settled(edges):
+        edges = materialise(_large(edges), "edges")
+        edges = materialise(_small(edges), "edges")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

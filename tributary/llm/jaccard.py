@@ -4,21 +4,31 @@ Documents with the same set form one class and the join works on classes.  A
 least size splits them in light and heavy sets:
 
 * Two light sets link exactly if they share a subset of the least overlap that
-  their sizes ask for, so light sets enumerate those subsets; sharing one is proof.
+  their sizes ask for, so light sets enumerate those subsets.  A subset's key has
+  128 bits.
 * Heavy sets scan inverted lists.  A set is listed under its prefix, the first
   few of its elements in one order for all sets, one of which every partner
-  shares.  The order is that of the hashes, but with the commonest elements last,
-  so that what very many documents hold makes no long lists.
+  shares.  The order is by the number of sets that hold an element, the rarest
+  first, so that what very many documents hold makes no long lists.
+
+For that order, the elements of all sets are dealt to ranges of their hashes, as
+blobs of one chunk of documents and one range each, and counted range by range.
+What more than one set holds goes back to its chunk, where prefixes are formed.
+The number of ranges follows the number of elements, so a range fits in memory.
+An element that very many documents of one chunk hold is sent as its number of
+documents alone, so a hot element adds little to its range.
 
 The boundary is the one of least cost: subsets enumerated below it, list entries
 scanned above it, both counted from the data.
 
 A list's sets are not paired with each other outright.  First each is compared
-with a pivot of its list, a few times over, and what links becomes one
-component.  What is left are pairs across components: sets outside a list's
-largest component against the others.  Sizes, positions in the prefix and
-bitmaps of the sets (a bound on the overlap that never errs downwards) rule pairs out
-before their full sets are compared.  No link between components is lost.
+with a pivot of its list, as often as this leaves fewer sets apart, and what
+links becomes one component.  What is left are pairs across components: sets
+outside a list's largest component against the others.  A pair is formed only
+where the shared element can be the first that both hold: both then have as many
+elements from there on as the overlap needs.  That, sizes and bitmaps of the sets
+(a bound on the overlap that never errs downwards) rule pairs out before their full
+sets are compared.  No link between components is lost.
 
 Edge cases: a null or empty text, or one without words, has an empty set and
 links with nothing.  With fewer words than a shingle's, the whole sequence is
@@ -26,16 +36,18 @@ the one element.  Repeated rows fall in one class; a null doc_id takes part but
 never names a component unless all its members' are null.  An empty table gives
 an empty result.
 
-Elements are 64-bit fingerprints of the shingles.
+Elements are 64-bit fingerprints of the shingles.  Lists go by their leading bits,
+32 and those of the range; what is listed together by chance is told apart later.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,16 +56,16 @@ from tributary.llm import words
 from tributary.llm.common import bounded_join, drop, lists, materialise, settle, texts, tidy, with_row
 from tributary.llm.graph import components
 
-#: Largest set that may count as light; the subsets of larger ones are too many.
-MOST_LIGHT = 40
-#: Pivots that each list is compared with before pairs across components.
-PIVOTS = 2
-#: Elements put last in the order: at most so many, from so many sets on.  Any choice is exact.
-MOST_COMMON, COMMON = 65_536, 48
-#: Occurrences among the sets that a task counts together for it to report an element.
-REPORTED, COUNTED_TOGETHER = 2, 1_000_000
+#: Largest set that may count as light, and most subsets that one may enumerate.
+MOST_LIGHT, MOST_SUBSETS = 40, 100_000
+#: Elements of a range and of a chunk, about; documents of a chunk.
+RANGE, CHUNK, CHUNK_DOCS = 1 << 19, 1 << 20, 60_000
+#: Documents of a chunk from which an element's are sent as a number.
+OFTEN = 32
+#: Pivots are repeated while lists would make more pairs than so many times their entries.
+PAIRS_PER_ENTRY = 1
 BITS = [f"b{i}" for i in range(4)]
-SHORT = np.uint64(0x9E3779B97F4A7C15)
+SHORT, CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shingles(buffer: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +87,8 @@ def shingles(buffer: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
         who = np.concatenate([who, short])
     # Signed, as SQL compares them later.
     found = found.view(np.int64)
-    order = np.lexsort((found, who))
+    order = np.argsort(found)
+    order = order[np.argsort(who[order].astype(np.uint16) if len(counts) <= 1 << 16 else who[order], kind="stable")]
     found, who = found[order], who[order]
     new = np.ones(len(found), dtype=bool)
     new[1:] = (found[1:] != found[:-1]) | (who[1:] != who[:-1])
@@ -98,7 +111,7 @@ def wide_maps(found: np.ndarray, who: np.ndarray, n: np.ndarray) -> tuple[np.nda
     return np.packbits(odd.astype(np.uint8)).view(np.int64), bits // 64
 
 
-def _sketches(size: int, num: int, den: int):
+def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, buffer, offsets in texts(batch):
@@ -112,92 +125,135 @@ def _sketches(size: int, num: int, den: int):
                 bits = np.bincount(who * 256 + (found & 255), minlength=256 * len(rows)) & 1
                 maps = np.packbits(bits.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64)
                 wide, sizes = wide_maps(found, who, n)
-                rank = np.arange(len(found)) - first[who]
-                head = np.minimum(n, 2 * prefix(n, num, den))
-                taken = rank < head[who]
                 small = n[who] <= MOST_LIGHT
-                values = found
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("doc_id"), rows.column("__f"), rows.column("__r"), pa.array(n.astype(np.int32)), pa.array(sums[0]), pa.array(sums[1])]
                     + [pa.array(maps[:, i].copy()) for i in range(4)]
-                    + [lists(values[taken], head, pa.int64()), lists(values[small], np.where(n <= MOST_LIGHT, n, 0), pa.int64()), lists(wide, sizes, pa.int64())],
-                    ["doc_id", "__f", "__r", "n", "s1", "s2", *BITS, "head", "small", "wide"],
+                    + [lists(found[small], np.where(n <= MOST_LIGHT, n, 0), pa.int64()), lists(wide, sizes, pa.int64())],
+                    ["doc_id", "__f", "__r", "n", "s1", "s2", *BITS, "small", "wide"],
                 )
 
     return run
 
 
-def _common(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def counted() -> pa.RecordBatch:
-            found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= REPORTED
-            return pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(n[often].astype(np.int64))], ["tok", "n"])
+# Kinds of rows on the way to the order: elements with their documents, elements with their
+# numbers of documents, documents of the latter, and the documents of a chunk with their sizes.
+OF_DOCS, COUNTED, DOCS_OF_COUNTED, DOCS = range(4)
+DEALT = "range long, chunk long, kind int, tok binary, who binary"
+RANKED = DEALT + ", level binary"
 
-        for batch in batches:
-            values = np.asarray(batch.column("head").flatten())
-            held.append(values)
-            size += len(values)
-            if size > COUNTED_TOGETHER:
-                yield counted()
-                held, size = [], 0
-        if held:
-            yield counted()
-        tidy()
 
-    return run
+def range_bits(total: int) -> int:
+    """Leading bits of an element that tell its range."""
+    return max(4, (max(total, 1) // RANGE).bit_length())
 
 
-def _heads(num: int, den: int, common):
-    """The prefix of each set under the order with common elements last; null where more than is stored is needed."""
+def _dealt(size: int, bits: int):
+    """Rows for the ranges, and under negative ranges what only passes through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
-        for batch in (whole.slice(at, 2000) for whole in batches for at in range(0, len(whole), 2000)):
-            n = np.asarray(batch.column("n"))
-            need = prefix(n, num, den)
-            head = batch.column("head")
-            size = np.diff(np.frombuffer(head.buffers()[1], np.int32)[head.offset : head.offset + len(head) + 1])
-            values = np.asarray(head.flatten())
-            rare = ~np.isin(values, last) if len(last) else np.ones(len(values), dtype=bool)
-            owner = words.owners(size)
-            before = np.cumsum(rare) - rare
-            first = np.concatenate([[0], np.cumsum(size)])[:-1]
-            base = before[np.minimum(first, max(len(values) - 1, 0))] if len(values) else first
-            rank = before - base[owner]
-            taken = rare & (rank < need[owner])
-            have = np.bincount(owner[taken], minlength=len(n))
-            known = (have == need) | (size == n)
-            # With the whole set stored, common elements fill the prefix up.
-            spare = ~rare & ((size == n) & (have < need))[owner]
-            late = np.cumsum(spare) - spare
-            late = late - (late[np.minimum(first, max(len(values) - 1, 0))] if len(values) else first)[owner]
-            filled = spare & (late < (need - have)[owner])
-            order = np.lexsort((np.arange(len(values)), filled, owner))
-            order = order[(taken | filled)[order]]
-            sizes = np.bincount(owner[order], minlength=len(n))
-            made = lists(values[order], sizes, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("cid"), batch.column("n"), made, pa.array(known)], ["cid", "n", "head", "known"])
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        found_, who_, cids, sizes, docs, held = [], [], [], [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal seq, docs, held
+            chunk = (part << 32) + seq
+            tok = np.concatenate(found_).view(np.uint64) >> np.uint64(32 - bits)
+            who = np.concatenate(who_).astype(np.uint16)
+            order = np.argsort(tok)
+            tok, who = tok[order], who[order]
+            begin = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.zeros(0, np.int64)
+            times = np.diff(np.append(begin, len(tok)))
+            often = np.repeat(times >= OFTEN, times)
+            rows = [(-1 - chunk, DOCS, np.concatenate(cids).astype("<i8"), np.concatenate(sizes).astype("<i4"))]
+            if often.any():
+                rows.append((-1 - chunk, DOCS_OF_COUNTED, tok[often].astype("<u8"), who[often].astype("<u2")))
+            hot = begin[times >= OFTEN]
+            for kind, keys, values in ((OF_DOCS, tok[~often], who[~often].astype("<u2")), (COUNTED, tok[hot], times[times >= OFTEN].astype("<u4"))):
+                at = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(32))
+                keys = keys.astype("<u4")
+                rows += [(k, kind, keys[at[k] : at[k + 1]], values[at[k] : at[k + 1]]) for k in np.flatnonzero(np.diff(at)).tolist()]
+            for kept in (found_, who_, cids, sizes):
+                kept.clear()
+            seq, docs, held = seq + 1, 0, 0
+            made = list(zip(*rows))
+            columns = [pa.array(made[0], pa.int64()), pa.array([chunk] * len(rows), pa.int64()), pa.array(made[1], pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array([x.tobytes() for x in made[i]], pa.binary()) for i in (2, 3)]], ["range", "chunk", "kind", "tok", "who"])
 
-    return run
-
-
-def _long_heads(size: int, num: int, den: int, common):
-    """Prefixes of sets made anew from their texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = common.value
         for batch in batches:
             for rows, buffer, offsets in texts(batch):
                 found, who = shingles(buffer, offsets, size)
-                n = np.bincount(who, minlength=len(rows))
-                order = np.lexsort((found, np.isin(found, last), who))
-                rank = np.arange(len(found)) - np.concatenate([[0], np.cumsum(n)])[who]
-                need = prefix(n, num, den)
-                made = lists(found[order][rank < need[who]], need, pa.int64())
-                yield pa.RecordBatch.from_arrays([rows.column("cid"), pa.array(n.astype(np.int32)), made], ["cid", "n", "head"])
+                if docs and (docs + len(rows) > CHUNK_DOCS or held + len(found) > CHUNK):
+                    yield flush()
+                found_.append(found)
+                who_.append(who + docs)
+                cids.append(np.asarray(rows.column("cid")))
+                sizes.append(np.bincount(who, minlength=len(rows)))
+                docs, held = docs + len(rows), held + len(found)
+        if docs:
+            yield flush()
+        tidy()
+
+    return run
+
+
+def _numbers(cells, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in cells]
+
+
+def _ranked(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of one range, the elements that more than one set holds, with twice the logarithm of how many."""
+    rows = rows.assign(level=b"")
+    if rows["range"].iloc[0] < 0:
+        return rows
+    tok = _numbers(rows["tok"], "<u4")
+    who = [np.frombuffer(x, "<u2" if kind == OF_DOCS else "<u4") for x, kind in zip(rows["who"], rows["kind"])]
+    weights = np.concatenate([np.ones(len(w)) if kind == OF_DOCS else w for w, kind in zip(who, rows["kind"])])
+    _, which = np.unique(np.concatenate(tok), return_inverse=True)
+    n = np.bincount(which, weights)[which]
+    levels = np.minimum(2 * np.log2(n), 255).astype(np.uint8)
+    shared = np.split(n > 1, np.cumsum([len(t) for t in tok])[:-1])
+    levels = np.split(levels, np.cumsum([len(t) for t in tok])[:-1])
+    out = rows.assign(
+        tok=[t[s].tobytes() for t, s in zip(tok, shared)],
+        who=[w[s].tobytes() for w, s in zip(who, shared)],
+        level=[x[s].tobytes() for x, s in zip(levels, shared)],
+    )
+    return out[out["tok"].str.len() > 0]
+
+
+def _prefixes(num: int, den: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """Of one chunk, the elements in prefixes that other sets hold too, and their places there."""
+        of = {kind: part for kind, part in rows.groupby("kind")}
+        cids, n = np.frombuffer(of[DOCS]["tok"].iloc[0], "<i8"), np.frombuffer(of[DOCS]["who"].iloc[0], "<i4")
+
+        def numbers(kind: int, who: str) -> tuple:
+            part = of.get(kind)
+            if part is None:
+                return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+            keys = [np.frombuffer(t, "<u4").astype(np.int64) + (r << 32) for t, r in zip(part["tok"], part["range"])]
+            return np.concatenate(keys), np.concatenate(_numbers(part["who"], who)).astype(np.int64), np.concatenate(_numbers(part["level"], "u1"))
+
+        tok, who, level = numbers(OF_DOCS, "<u2")
+        hot, _, hot_level = numbers(COUNTED, "<u4")
+        if len(hot):
+            order = np.argsort(hot)
+            also = of[DOCS_OF_COUNTED].iloc[0]
+            more = np.frombuffer(also["tok"], "<u8").astype(np.int64)
+            tok = np.concatenate([tok, more])
+            who = np.concatenate([who, np.frombuffer(also["who"], "<u2").astype(np.int64)])
+            level = np.concatenate([level, hot_level[order][np.searchsorted(hot[order], more)]])
+        order = np.lexsort((tok, level, who))
+        tok, who = tok[order], who[order]
+        shared = np.bincount(who, minlength=len(n))
+        # Elements that no other set holds come before all these.
+        pos = (n - np.cumsum(shared))[who] + np.arange(len(who))
+        listed = pos < prefix(n, num, den)[who]
+        tok, who, pos = tok[listed], who[listed], pos[listed]
+        return pd.DataFrame({"cid": cids[who], "n": n[who], "pos": pos.astype(np.int32), "tok": tok})
 
     return run
 
@@ -233,21 +289,23 @@ def _subsets(most: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list] = {}
         for batch in batches:
-            keys, los, his, big, ids = [], [], [], [], []
+            keys, checks, los, his, big, ids = [], [], [], [], [], []
             for cid, n, small in zip(*(batch.column(c).to_pylist() for c in ("cid", "n", "small"))):
-                # A subset's key is the sum of its mixed elements.
-                values = words.mix(np.array(small, dtype=np.int64).view(np.uint64) ^ SHORT)
-                total = values.sum(dtype=np.uint64)
+                # A subset's key is two sums of its elements, mixed in two ways.
+                values = np.array(small, dtype=np.int64).view(np.uint64)
+                values = np.stack([words.mix(values ^ SHORT), words.mix(values ^ CHECK)])
+                total = values.sum(axis=1, dtype=np.uint64)
                 for lo, hi, out in plans.setdefault(n, subset_plans(n, most, num, den)):
-                    picks = np.array(list(combinations(range(n), out)), dtype=np.int64).reshape(comb(n, out), out)
-                    made = total - values[picks].sum(axis=1, dtype=np.uint64)
-                    keys.append(made.view(np.int64))
+                    picks = np.fromiter(chain.from_iterable(combinations(range(n), out)), np.int64, comb(n, out) * out).reshape(comb(n, out), out)
+                    made = total[:, None] - values[:, picks].sum(axis=2, dtype=np.uint64)
+                    keys.append(made[0].view(np.int64))
+                    checks.append(made[1].view(np.int64))
                     for to, x in ((los, lo), (his, hi), (big, n == hi), (ids, cid)):
-                        to.append(np.full(len(made), x))
+                        to.append(np.full(made.shape[1], x))
             if keys:
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
-                columns = [pa.array(np.concatenate(c), k) for c, k in zip((keys, los, his, big, ids), kinds)]
-                yield pa.RecordBatch.from_arrays(columns, ["key", "lo", "hi", "larger", "cid"])
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
+                columns = [pa.array(np.concatenate(c), k) for c, k in zip((keys, checks, los, his, big, ids), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "check", "lo", "hi", "larger", "cid"])
 
     return run
 
@@ -255,7 +313,8 @@ def _subsets(most: int, num: int, den: int):
 def boundary(sizes: dict[int, tuple[int, int]], num: int, den: int) -> int:
     """The largest light size of least cost.  sizes: by size, sets and list entries they scan."""
     enumerated = {n: sets * sum(comb(n, out) for _, _, out in subset_plans(n, n, num, den)) for n, (sets, _) in sizes.items()}
-    costs = {s: sum(enumerated[n] if n <= s else sizes[n][1] for n in sizes) for s in range(MOST_LIGHT + 1)}
+    most = next((n - 1 for n in range(1, MOST_LIGHT + 1) if max([0, *(comb(n, out) for *_, out in subset_plans(n, n, num, den))]) > MOST_SUBSETS), MOST_LIGHT)
+    costs = {s: sum(enumerated[n] if n <= s else sizes[n][1] for n in sizes) for s in range(most + 1)}
     return min(costs, key=lambda s: (costs[s], s))
 
 
@@ -268,10 +327,9 @@ def _allowed(a: str, b: str, num: int, den: int) -> Column:
 
 
 def _reachable(a: str, b: str, num: int, den: int) -> Column:
-    """Whether the overlap can suffice, from where the shared element stands in both prefixes."""
+    """Whether the overlap can suffice if the shared element is the first that both sets hold."""
     n, m, i, j = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return most * (num + den) >= (n + m) * num
+    return F.least(n - i, m - j) * (num + den) >= (n + m) * num
 
 
 def _renamed(df: DataFrame, mark: str, but: tuple = ("tok", "band")) -> DataFrame:
@@ -284,34 +342,27 @@ class Join:
     def __init__(self, docs: DataFrame, size: int, num: int, den: int):
         self.size, self.num, self.den = size, num, den
         self.docs = with_row(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__f", "__r")
-        schema = "doc_id long, __f long, __r long, n int, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS) + ", head array<long>, small array<long>, wide array<long>"
-        self.sketches = materialise(self.docs.mapInArrow(_sketches(size, num, den), schema), "sketches")
+        schema = "doc_id long, __f long, __r long, n int, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS) + ", small array<long>, wide array<long>"
+        self.sketches = materialise(self.docs.mapInArrow(_sketches(size), schema), "sketches")
         same = self.sketches.where("n > 0").groupBy("n", "s1", "s2")
         classes = same.agg(F.min("doc_id").alias("first"), F.min(F.struct("__f", "__r")).alias("at"))
         self.classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
         # What is kept of a class's set is that of one of its rows.
-        rows = self.sketches.select("__f", "__r", "n", *BITS, "head", "small", "wide")
-        of = materialise(self.classes.select("cid", "at.__f", "at.__r"), "of")
-        self.kept = bounded_join(rows, of, ["__f", "__r"], "inner", 32)
+        rows = self.sketches.select("__f", "__r", "n", *BITS, "small", "wide")
+        self.of = materialise(self.classes.select("cid", "at.__f", "at.__r"), "of")
+        self.kept = bounded_join(rows, self.of, ["__f", "__r"], "inner", 32)
         self.maps = materialise(self.kept.select("cid", "n", *BITS, "wide"), "maps")
         self.links = self.seen = None
 
-    def heads(self) -> DataFrame:
-        """cid, n, head: every class's prefix, common elements last."""
-        spark, num, den = self.docs.sparkSession, self.num, self.den
-        counted = self.kept.select("head").mapInArrow(_common(num, den), "tok long, n long")
-        counted = counted.groupBy("tok").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-        rows = counted.orderBy(F.desc("n"), "tok").limit(MOST_COMMON).collect()
-        common = spark.sparkContext.broadcast(np.array(sorted(r["tok"] for r in rows), dtype=np.int64))
-        made = materialise(self.kept.select("cid", "n", "head").mapInArrow(_heads(num, den, common), "cid long, n int, head array<long>, known boolean"), "heads")
-        short = materialise(made.where("not known").select("cid").join(self.classes.select("cid", "at"), "cid").select("cid", "at.__f", "at.__r"), "short")
-        near = bounded_join(self.docs.select("text", "__f", "__r"), short, ["__f", "__r"], "inner", 32)
-        anew = near.select("cid", "text").mapInArrow(_long_heads(self.size, num, den, common), "cid long, n int, head array<long>")
-        return made.where("known").select("cid", "n", "head").unionByName(materialise(anew, "anew"))
-
     def entries(self) -> DataFrame:
-        """Prefix entries of elements that more than one set lists."""
-        listed = self.heads().select("cid", "n", F.posexplode("head").alias("pos", "tok"))
+        """cid, n, pos, tok, df: prefix entries of elements that more than one set lists."""
+        total = self.maps.agg(F.sum("n")).first()[0]
+        near = bounded_join(self.docs.select("text", "__f", "__r"), self.of, ["__f", "__r"], "inner", 32)
+        dealt = near.select("cid", "text").mapInArrow(_dealt(self.size, range_bits(total or 0)), DEALT)
+        ranked = dealt.groupBy("range").applyInPandas(_ranked, RANKED)
+        listed = ranked.groupBy("chunk").applyInPandas(_prefixes(self.num, self.den), "cid long, n int, pos int, tok long")
+        listed = materialise(listed, "listed")
+        settle(self.docs.sparkSession)
         shared = listed.groupBy("tok").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         # Written, so that the join deals both sides itself and can split a hot key.
         found = materialise(listed.join(materialise(shared, "shared"), "tok"), "entries")
@@ -329,11 +380,11 @@ class Join:
     def light(self, most: int) -> DataFrame:
         """Links between light sets: all that enumerate the same subset, tied to the least."""
         subsets = self.kept.where(F.col("n") <= most).select("cid", "n", "small")
-        keys = subsets.mapInArrow(_subsets(most, self.num, self.den), "key long, lo int, hi int, larger boolean, cid long")
+        keys = subsets.mapInArrow(_subsets(most, self.num, self.den), "key long, check long, lo int, hi int, larger boolean, cid long")
         keys = materialise(keys, "subsets")
-        on = ["key", "lo", "hi"]
+        on = ["key", "check", "lo", "hi"]
         met = keys.groupBy(on).agg(F.min("cid").alias("v"), F.max("cid").alias("last"), F.max("larger").alias("x"), F.min("larger").alias("y"))
-        met = met.where("v <> last and (lo = hi or x <> y)")
+        met = materialise(met.where("v <> last and (lo = hi or x <> y)").select(*on, "v"), "met")
         return keys.join(met, on).where("cid <> v").select(F.col("cid").alias("u"), "v").distinct()
 
     def heavy(self, entries: DataFrame, most: int) -> None:
@@ -343,12 +394,13 @@ class Join:
         band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
         self.listed = materialise(partners.withColumn("size_band", band), "partners")
         drop(entries)
-        for k in range(PIVOTS):
-            more = self.verify(self.pivots(k, most))
+        entries, k = self.listed.count(), 0
+        rows = materialise(self.rooted(), "rooted")
+        while self.pairs_left(rows) > PAIRS_PER_ENTRY * entries and self.verify(self.pivots(rows, k, most)):
+            drop(rows)
             settle(self.docs.sparkSession)
-            if not more:
-                break
-        self.verify(self.across(most))
+            rows, k = materialise(self.rooted(), "rooted"), k + 1
+        self.verify(self.across(rows, most))
 
     def rooted(self) -> DataFrame:
         """List entries with the component found so far."""
@@ -357,10 +409,15 @@ class Join:
         roots = materialise(components(self.links), "roots")
         return self.listed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
-    def pivots(self, k: int, most: int) -> DataFrame:
+    def pairs_left(self, rows: DataFrame) -> int:
+        """Pairs that across() would look at, but for what sizes, places and bitmaps rule out."""
+        sized = rows.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("members"))
+        lists_ = sized.groupBy("tok").agg(F.sum("members").alias("all"), F.max("members").alias("main"))
+        return lists_.agg(F.sum((F.col("all") - F.col("main")) * F.col("all"))).first()[0] or 0
+
+    def pivots(self, rows: DataFrame, k: int, most: int) -> DataFrame:
         """Each set with the pivot most like it among its lists' pivots, from other components."""
         num, den = self.num, self.den
-        rows = materialise(self.rooted(), "rooted")
         on = ["tok", "size_band"]
         pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "pos", "root")).alias("p")
         picked = rows.groupBy(on).agg(F.min("root").alias("least"), F.max("root").alias("last"), pick).where("least <> last")
@@ -374,9 +431,8 @@ class Join:
         nearest = both.groupBy("ocid").agg(F.min(F.struct(apart.alias("d"), F.col("pcid").alias("c"))).alias("best"))
         return nearest.select(F.least("ocid", "best.c").alias("a"), F.greatest("ocid", "best.c").alias("b")).distinct()
 
-    def across(self, most: int) -> DataFrame:
+    def across(self, rows: DataFrame, most: int) -> DataFrame:
         """All pairs that share an element, lie in different components and can't be ruled out."""
-        rows = materialise(self.rooted(), "rooted")
         sized = rows.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("members"))
         large = sized.groupBy("tok").agg(F.max(F.struct("members", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         large = materialise(large.select("tok", F.col("top.root").alias("main")), "large")
