@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tributary.llm.common import bounded_join, materialise
+from tributary.llm.common import BROADCAST_LIMIT, bounded_join, materialise
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -15,24 +15,28 @@ def _settled(edges: DataFrame) -> bool:
     return told.where("a <> b or (n > 0 and n < all)").isEmpty()
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Each u's least v, written: a join with it can then be a broadcast of checked size or split hot keys."""
-    return materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+def _with_least(rows: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
+    """Rows with the least v of their u among the edges.
+
+    It is broadcast where the edges are few; else it is written first, so that
+    the join deals both sides itself and can split a hot node.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return rows.join(F.broadcast(least), "u") if small else bounded_join(rows, materialise(least, "least"), ["u"], "inner")
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, small: bool) -> DataFrame:
     """Tie every larger neighbour of a node to the least of its neighbours and itself."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    tied = bounded_join(both.where("v > u"), _least(both), ["u"], "inner")
+    tied = _with_least(both.where("v > u"), both, small)
     return tied.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, small: bool) -> DataFrame:
     """Tie a node and its smaller neighbours to the least of them; u is the larger end."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = _least(down)
-    tied = bounded_join(down, least, ["u"], "inner").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    tied = _with_least(down, down, small)
+    return tied.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -43,7 +47,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     while not _settled(edges):
-        edges = materialise(_large(edges), "edges")
-        edges = materialise(_small(edges), "edges")
+        # Both ends of so many edges, each with its least neighbour, stay within the limit.
+        if edges.count() * 2 * 16 <= BROADCAST_LIMIT:
+            edges = materialise(_small(_large(edges, True), True), "edges")
+        else:
+            edges = materialise(_small(materialise(_large(edges, False), "edges"), False), "edges")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

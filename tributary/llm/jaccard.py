@@ -63,7 +63,7 @@ RANGE, CHUNK, CHUNK_DOCS = 1 << 19, 1 << 20, 60_000
 #: Documents of a chunk from which an element's are sent as a number.
 OFTEN = 32
 #: Pivots are repeated while lists would make more pairs than so many times their entries.
-PAIRS_PER_ENTRY = 1
+PAIRS_PER_ENTRY = 2
 BITS = [f"b{i}" for i in range(4)]
 SHORT, CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
