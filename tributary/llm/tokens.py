@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-from tributary.llm.words import hashes
+from tributary.llm.words import chunks, eights, hashes
 
 #: Pieces remembered in each Python worker, some 100 bytes each; then it starts afresh.
 REMEMBERED = 700_000
@@ -117,13 +117,33 @@ class Encoder:
         return b"".join(found)
 
 
+LEAD, FAR = np.uint64((1 << 56) - 1), np.uint64(1 << 63)
+fingerprints = hashes
+
+
+def differ(whole: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray, lengths: np.ndarray, stored: np.ndarray | None = None) -> np.ndarray:
+    """Whether pieces have other bytes than those at places, in the same buffer or in a store of eights."""
+    out = sizes != lengths
+    same = np.flatnonzero(~out)
+    if len(same):
+        parts, step, counts = chunks(whole, starts[same], starts[same] + sizes[same])
+        if stored is None:
+            others = chunks(whole, places[same], places[same] + sizes[same])[0]
+        else:
+            others = stored[np.repeat(places[same], counts) + step]
+        out[same] = np.logical_or.reduceat(parts != others, np.cumsum(counts) - counts)
+    return out
+
+
 class BatchEncoder:
     """Encodes many texts at once, from their bytes laid end to end.
 
-    Pieces are told apart by 64-bit fingerprints and lengths, looked up in one
-    sorted array, and their ids copied from one flat array.  Texts with other
-    white space than single blanks and line ends, and texts that hold an added
-    token, are encoded as a whole.
+    A piece's key is itself and its length if it has at most seven bytes, else a
+    64-bit fingerprint.  Keys are looked up in one sorted array, and ids copied
+    from one flat array; the bytes of longer pieces are compared on every hit.
+    Texts with other white space than single blanks and line ends, texts that
+    hold an added token, and those with a piece whose bytes differ from those
+    known under its key are encoded as a whole.
     """
 
     def __init__(self, path: str):
@@ -138,6 +158,8 @@ class BatchEncoder:
         self.at, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.store = np.zeros(1 << 16, self.kind)
         self.used = 0
+        # Bytes of longer pieces, by eights.
+        self.lengths, self.eight_at, self.eights = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     @staticmethod
     def odd(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -180,10 +202,18 @@ class BatchEncoder:
         if odd.any():
             kept = ~odd[doc]
             starts, ends, doc = starts[kept], ends[kept], doc[kept]
-        keys = hashes(buffer, starts, ends) + (ends - starts).astype(np.uint64)
+        long = ends - starts
+        whole = eights(buffer)
+        keys = whole[starts] & LEAD | long.astype(np.uint64) << np.uint64(56)
+        far = np.flatnonzero(long > 7)
+        keys[far] = fingerprints(buffer, starts[far], ends[far]) | FAR
         unique, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        place = self._lookup(unique, buffer, starts[first], ends[first])
+        place, unlike = self._lookup(unique, buffer, whole, starts[first], ends[first])
         which = place[inverse]
+        other = unlike[inverse]
+        same = first[inverse[far]]
+        other[far] |= differ(whole, starts[far], long[far], starts[same], long[same])
+        odd[doc[other]] = True
         sizes = self.sizes[which]
         # Copy every piece's ids to its place.
         total = int(sizes.sum())
@@ -205,8 +235,8 @@ class BatchEncoder:
             parts.append(own)
         return np.concatenate(parts) if parts else ids, counts
 
-    def _lookup(self, unique: np.ndarray, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Numbers of pieces in the flat array; those not met before are encoded."""
+    def _lookup(self, unique: np.ndarray, buffer: np.ndarray, whole: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of pieces in the flat array, those not met before encoded; whether other bytes are known under a key."""
         if len(self.keys) > REMEMBERED:
             self._afresh()
         found = np.searchsorted(self.keys, unique)
@@ -215,6 +245,9 @@ class BatchEncoder:
         have[inside] = self.keys[found[inside]] == unique[inside]
         out = np.empty(len(unique), dtype=np.int64)
         out[have] = self.which[found[have]]
+        unlike = np.zeros(len(unique), dtype=bool)
+        met = np.flatnonzero(have & (unique >= FAR))
+        unlike[met] = differ(whole, starts[met], (ends - starts)[met], self.eight_at[out[met]], self.lengths[out[met]], self.eights)
         new = np.flatnonzero(~have)
         if len(new):
             data = buffer.tobytes()
@@ -231,7 +264,13 @@ class BatchEncoder:
             self.keys = np.insert(self.keys, found[new], unique[new])
             self.which = np.insert(self.which, found[new], numbers)
             out[new] = numbers
-        return out
+            lengths = (ends - starts)[new]
+            parts, _, counts = chunks(whole, starts[new], ends[new])
+            counts, parts = np.where(lengths > 7, counts, 0), parts[np.repeat(lengths > 7, counts)]
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.eight_at = np.concatenate([self.eight_at, len(self.eights) + np.cumsum(counts) - counts])
+            self.eights = np.concatenate([self.eights, parts])
+        return out, unlike
 
 
 _encoders: dict[str, BatchEncoder] = {}
