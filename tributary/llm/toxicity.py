@@ -10,7 +10,8 @@ function to its score, and words with a marginal of at least one half are its
 offending spans.
 
 The sample has at most SAMPLE documents of each class, those of least hash among
-the labelled ones of at most SAMPLE_CHARS characters; everything else covers all rows.
+the labelled ones of at most SAMPLE_CHARS characters, and in that order as many of
+them as have SAMPLE_TOTAL characters together; everything else covers all rows.
 
 Edge cases: a null or empty text scores like any text without words.  Without
 labels of both classes, every score is the share of toxic labels (one half
@@ -20,6 +21,7 @@ wins.  Repeated rows get the same score.  Only doc_id and text are looked at.
 
 from __future__ import annotations
 
+import gc
 import pickle
 import re
 from collections import Counter
@@ -28,14 +30,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.llm.common import tidy
 
 #: Most labelled documents of each class that the field is trained on.
 SAMPLE = 1000
-SAMPLE_CHARS = 100_000
+#: Most characters of one such document, and of those of one class together.
+SAMPLE_CHARS, SAMPLE_TOTAL = 100_000, 8_000_000
 ROUNDS = 30
 #: Log odds from which a feature marks a toxic word, and documents it must be in.
 MARKED, LEAST_DOCS = 3.0, 3
@@ -44,6 +47,12 @@ CELLS = 300_000
 word_of = re.compile(r"\w+").findall
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case words.  They are cut in the text itself, so that their places are those of its characters."""
+    lower = text.lower()
+    return word_of(lower) if len(lower) == len(text) else [w.lower() for w in word_of(text)]
+
+
 def features(word: str) -> list[str]:
     out = ["=" + word]
     out += [f"^{word[:k]}" for k in (3, 4, 5, 6) if len(word) > k]
@@ -126,7 +135,7 @@ class Field:
         emit, seen = self.emit, self.seen
         scores = []
         for text in texts:
-            found = word_of(text.lower())
+            found = words_of(text)
             have = list(map(seen.get, found))
             if None in have:
                 have = [emit(w) if e is None else e for w, e in zip(found, have)]
@@ -153,7 +162,7 @@ def train(docs: list[str], toxic: np.ndarray) -> Field:
     if not len(toxic) or toxic.min() == toxic.max():
         return Field(logistic=np.array([0, 0, 0, np.log(base / (1 - base))]))
     vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in word_of(d.lower())], dtype=np.int64) for d in docs]
+    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(d)], dtype=np.int64) for d in docs]
     of_word = [features(w) for w in vocabulary]
     df = [Counter(), Counter()]
     for codes, y in zip(coded, toxic):
@@ -235,10 +244,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [r for batch in batches for r in batch.to_pylist()]
-    rows.sort(key=lambda r: r["doc_id"])
-    model = train([r["text"] for r in rows], np.array([r["toxic"] for r in rows], dtype=float))
+    rows = [(r["doc_id"], r["text"], r["toxic"]) for batch in batches for at in range(0, len(batch), 64) for r in batch.slice(at, 64).to_pylist()]
+    rows.sort()
+    model = train([t for _, t, _ in rows], np.array([y for *_, y in rows], dtype=float))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+    del rows, model
+    gc.collect()
     tidy()
 
 
@@ -247,11 +258,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     marks = marks.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    short = docs.where(F.length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"))
-    marks = marks.join(short.distinct(), "doc_id")
+    short = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("chars"))
+    short = short.where(F.col("chars") <= SAMPLE_CHARS).groupBy("doc_id").agg(F.max("chars").alias("chars"))
     order = F.xxhash64("doc_id")
-    chosen = [marks.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
-    chosen = chosen[0].unionByName(chosen[1])
+    chosen = [marks.join(short, "doc_id").where(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
+    # At most 2 * sample rows: the window sees no more.
+    ahead = Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chosen = chosen[0].unionByName(chosen[1]).withColumn("sum", F.sum("chars").over(ahead)).where(F.col("sum") <= SAMPLE_TOTAL).select("doc_id", "toxic")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(chosen), "doc_id")
     # One text of each chosen doc_id, so that the sample stays bounded.
@@ -275,9 +288,7 @@ def _scored(shared):
                     if not len(bad):
                         spans.append([])
                         continue
-                    # Words are found in the lower-cased text; its places hold if it is as long.
-                    base = text.lower() if len(text.lower()) != len(text) else text
-                    where = [m.span() for m in re.finditer(r"\w+", base)]
+                    where = [m.span() for m in re.finditer(r"\w+", text)]
                     spans.append([{"from": where[k][0], "to": where[k][1], "chance": float(p[k])} for k in bad])
                 kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64()), ("chance", pa.float64())]))
                 arrays = [rows.column(c) for c in rows.schema.names if c != "text"]
