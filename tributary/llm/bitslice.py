@@ -12,7 +12,8 @@ Edge cases: vectors that are null, empty or hold null or non-finite components
 take no part.  Vectors are compared with those of their own length.  A vec_id
 that repeats is a candidate once for each row, and never for a query with the
 same vec_id; repeated query rows give repeated results.  A null vec_id takes no
-part.  Empty tables give empty results.
+part.  Empty tables give empty results.  Scores are 64-bit integers: components
+so large that one might not fit raise a ValueError.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import bounded_join, materialise
 
-#: Rows of an index block: a multiple of 64.
-BLOCK_ROWS = 65_536
+#: Most rows of an index block, and numbers in one: a block of longer vectors has fewer rows.
+BLOCK_ROWS, BLOCK_CELLS = 65_536, 1 << 22
 #: Queries handled together.
 CHUNK = 64
-#: Copies of a block that its queries are spread over.
-SPREAD = 12
+#: Tasks for each core that chunks and blocks are spread over, if need be by copies of a block.
+TASKS_PER_CORE = 4
+#: Scores stay below two to this power.
+SCORE_BITS = 61
 
 
 def usable(vector: Column) -> Column:
@@ -45,6 +48,17 @@ def quantise(vector: Column, scale: int) -> Column:
     return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
 
 
+def largest(vector: Column, scale: int) -> Column:
+    """The largest size among a vector's scaled components, as a double."""
+    return F.array_max(F.transform(vector, lambda x: F.abs(x.cast("double") * scale) + 1))
+
+
+def checked(squares: float | None) -> None:
+    """Refuse vectors whose inner products may not fit in 64 bits; squares: dims times the largest size squared."""
+    if squares is not None and squares >= 2.0**SCORE_BITS:
+        raise ValueError(f"scores of vectors with such large components may pass 2 ** {SCORE_BITS}")
+
+
 def pack_bits(flags: np.ndarray, width: int) -> np.ndarray:
     """Rows of booleans to little-endian 64-bit words."""
     out = np.zeros((*flags.shape[:-1], width * 64), dtype=bool)
@@ -78,10 +92,14 @@ def build_index(vectors: DataFrame, scale: int = 256, block_rows: int = BLOCK_RO
     """Blocks of bitmap slices over all usable vectors."""
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("e"))
     good = good.where(F.col("vec_id").isNotNull() & usable(F.col("e")))
-    good = materialise(good.select("vec_id", F.size("e").alias("dims"), quantise(F.col("e"), scale).alias("v")), "quantised")
+    size = F.pow(largest(F.col("e"), scale), F.lit(2)) * F.size("e")
+    good = materialise(good.select("vec_id", F.size("e").alias("dims"), quantise(F.col("e"), scale).alias("v"), size.alias("size")), "quantised")
+    n, size = good.agg(F.count(F.lit(1)), F.max("size")).first()
+    checked(size)
     # Rows are dealt by a hash of the whole row, so that no block gets far more than its share.
-    blocks = max(1, -(-good.count() * 9 // (8 * block_rows)))
-    own = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)) if blocks > 1 else F.lit(0).cast("long")
+    rows = F.greatest(F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_CELLS) / F.col("dims"))), F.lit(64))
+    own = F.pmod(F.xxhash64("vec_id", "v"), F.greatest(F.ceil(F.lit(n * 9 / 8) / rows), F.lit(1)))
+    good = good.drop("size")
     return materialise(good.withColumn("block", own).groupBy("block", "dims").applyInPandas(_index, INDEX), "index")
 
 
@@ -179,16 +197,20 @@ def search(index: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -
     """The k best of all indexed vectors for each query row: query_id, rank, vec_id, score."""
     good = queries.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("e"))
     good = good.where(F.col("query_id").isNotNull() & usable(F.col("e")))
-    good = good.select("query_id", F.size("e").alias("dims"), quantise(F.col("e"), scale).alias("q"))
+    size = F.pow(largest(F.col("e"), scale), F.lit(2)) * F.size("e")
+    good = good.select("query_id", F.size("e").alias("dims"), quantise(F.col("e"), scale).alias("q"), size.alias("size"))
     good = materialise(good.withColumn("number", F.monotonically_increasing_id()), "queries")
-    chunks = max(1, -(-good.count() // CHUNK))
+    n, size = good.agg(F.count(F.lit(1)), F.max("size")).first()
+    checked(size)
+    chunks = max(1, -(-n // CHUNK))
     asked = good.groupBy("dims", F.pmod(F.xxhash64("number"), F.lit(chunks)).alias("chunk")).agg(
         F.sort_array(F.collect_list(F.struct("number", "query_id", "q"))).alias("of")
     )
-    # Every chunk meets every block; copies of a block share the chunks out.
+    # Every chunk meets every block; where blocks are few, copies of a block share the chunks out.
     blocks = materialise(index.select("block", "dims"), "blocks")
-    met = bounded_join(asked, blocks, ["dims"], "inner").withColumn("copy", F.pmod("chunk", F.lit(SPREAD)))
-    copies = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    spread = max(1, min(chunks, TASKS_PER_CORE * index.sparkSession.sparkContext.defaultParallelism // max(1, blocks.count())))
+    met = bounded_join(asked, blocks, ["dims"], "inner").withColumn("copy", F.pmod("chunk", F.lit(spread)))
+    copies = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
     units = met.hint("shuffle_hash").join(copies, ["block", "dims", "copy"]).select(
         "block", "dims", "digits", "ids", "low", "slices", F.col("of.number").alias("numbers"), F.col("of.query_id").alias("query_ids"), F.col("of.q").alias("queries")
     )
