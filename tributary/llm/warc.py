@@ -4,16 +4,19 @@ A revisit takes the content of the latest earlier full response with the same
 canonical URL.  Its validators are checked against that response's, and those
 of its headers that a not-modified answer may change replace the response's.
 
-The as-of join is done in two levels, so that a URL with very many records is
-spread: within slices of time that are the same for all URLs, and over one row
-for each URL and slice, which carries the last response of earlier slices in.
+The as-of join is done in two levels.  Records are dealt to ranges of URL and
+time, so that a URL with very many records is spread over as many ranges as it
+fills: first within the ranges, then over one row for each URL and range, which
+carries the last response of earlier ranges in.  Only records of one URL at one
+time stay together.
 
 Edge cases: a null URL or time leaves a record invalid.  A response at the same
 time is not earlier.  Of several responses at the latest time, the one with the
 largest record_id counts.  A revisit without any earlier response is an orphan;
 one without validators is merged unchecked.  Null headers are no headers.
-Records with a record_id that repeats give one result for each row; a response
-record_id must be unique.  An empty table gives an empty result.
+Records with a record_id that repeats give one result for each row; of responses
+alike in record_id and time, that of the least payload counts.  Other columns are
+not looked at.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from pyspark.sql import functions as F
 
 from tributary.llm.common import materialise
 
-#: Slices of time.
-SLICES = 64
 # Header fields that a not-modified answer may update.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 # Query parameters that don't tell pages apart.
@@ -55,12 +56,10 @@ def resolve(records: DataFrame) -> DataFrame:
     record_id, canonical_url, response_id, status (merged, mismatch, orphan,
     invalid), headers and payload; the last two are null unless merged.
     """
-    named = [F.col(c) for c in ("record_id", "ts", "kind", "etag", "last_modified")]
+    named = ["record_id", F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified"]
     lean = records.select(*named, canonical(F.col("url")).alias("key"), F.coalesce("headers", F.array()).alias("headers"))
-    edges = records.agg(F.percentile_approx("ts", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(e).cast("long") for e in sorted(set(edges))]).cast("array<long>")
-    lean = lean.withColumn("slice", F.size(F.filter(edges, lambda x: x < F.col("ts"))))
     lean = materialise(lean, "records")
+    lean = materialise(lean.repartitionByRange("key", "ts").withColumn("slice", F.spark_partition_id()), "ranges")
 
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified"))
     last = lean.where("kind = 'response' and key is not null and ts is not null").groupBy("key", "slice").agg(F.max(F.struct("ts", "record_id", "etag", "last_modified")).alias("last"))
@@ -80,10 +79,13 @@ def resolve(records: DataFrame) -> DataFrame:
     matches = F.when(F.col("etag").isNotNull(), F.coalesce(strong(F.col("etag")) == strong(F.col("found.etag")), F.lit(False)))
     matches = matches.when(F.col("last_modified").isNotNull(), F.coalesce(F.col("last_modified") == F.col("found.last_modified"), F.lit(False))).otherwise(True)
     status = F.when(F.col("key").isNull() | F.col("ts").isNull(), "invalid").when(F.col("found").isNull(), "orphan").when(matches, "merged").otherwise("mismatch")
-    found = materialise(found.withColumn("status", status).withColumn("response_id", F.col("found.record_id")).drop("found"), "found")
+    found = materialise(found.withColumn("status", status).withColumn("response_id", F.col("found.record_id")).withColumn("response_ts", F.col("found.ts")).drop("found"), "found")
 
-    whole = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.coalesce("headers", F.array()).alias("first"), "payload")
-    merged = found.where("status = 'merged'").join(whole, "response_id")
+    keys = ["response_id", "response_ts"]
+    whole = records.where("kind = 'response'").select(F.col("record_id").alias("response_id"), F.col("ts").cast("long").alias("response_ts"), F.coalesce("headers", F.array()).alias("first"), "payload")
+    one = Window.partitionBy(*keys).orderBy("payload", "first")
+    whole = whole.withColumn("nth", F.row_number().over(one)).where("nth = 1").drop("nth")
+    merged = found.where("status = 'merged'").join(whole, keys)
     allowed = F.filter("headers", lambda h: F.lower(h["name"]).isin(*PERMITTED))
     replaced = F.transform(allowed, lambda h: F.lower(h["name"]))
     kept = F.filter("first", lambda h: ~F.coalesce(F.array_contains(replaced, F.lower(h["name"])), F.lit(False)))
