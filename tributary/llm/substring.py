@@ -1,7 +1,8 @@
 """Removal of word windows that occur more than once.
 
-Every window of ``width`` consecutive words has a Rabin-Karp hash.  A window
-can only repeat if its minimiser does, the least hash among the shorter word
+Every window of ``width`` consecutive words has a Rabin-Karp hash, and repeated
+windows are those whose hash is counted more than once.  Not every hash has to be
+formed for that: a window can only repeat if its minimiser does, the least hash among the shorter word
 runs inside it.  So three counts are made in Spark, each over what the one
 before leaves open:
 
@@ -229,7 +230,7 @@ def remove_repeats(docs: DataFrame, width: int = 35) -> DataFrame:
     groups = stretches.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("number", "start")).alias("at"))
     groups = materialise(groups.withColumn("group", F.monotonically_increasing_id()), "groups")
     mixed = groups.groupBy("least").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most = 1").select("least")
-    open_ = groups.join(mixed, "least", "left_semi")
+    open_ = bounded_join(groups, materialise(mixed, "mixed"), ["least"], "left_semi")
     asked = open_.groupBy("at.number").agg(F.collect_list(F.struct("group", "at.start", "windows", "least", "n")).alias("asked"))
     windows = near.select("number", "text").join(asked, "number")
     windows = windows.mapInArrow(_open_windows(width), "hash long, half int, group long, step int, n long")
