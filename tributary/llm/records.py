@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tributary.llm.common import bounded_join, materialise, texts
+from tributary.llm.common import bounded_join, materialise, texts, with_row
 from tributary.llm.tokens import BatchEncoder, encoder
 
 MASK_DELTA = 0xA282EAD8
@@ -118,8 +118,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2)
     The index has shard, doc_id, at (the frame's first byte), bytes, n_tokens
     and start (ids of all documents before).
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = with_row(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "__f", "__r")
+    # By the row as well, so that many rows of one doc_id, or of none, are spread.
+    order = ["doc_id", "__f", "__r"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     index = materialise(ordered.mapInArrow(_write(folder, tokenizer, end_id), INDEX), "index")
     totals = index.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
