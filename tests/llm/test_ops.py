@@ -486,3 +486,82 @@ def test_words_of_like_structure_are_told_apart(spark, n):
     got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in records.read_records(index).collect()}
     assert got == {i: x + [2] for i, x in enumerate(ids)}
     check_pieces(packing.pack(table.repartition(1), tokenizer()).collect(), dict(enumerate(texts)), 2048)
+
+
+def test_a_store_meets_earlier_batches_after_a_restart(spark, tmp_path):
+    for digest in (exact.sha256, lambda c: F.substring(F.sha2(c, 256), 1, 1)):
+        folder = f"file://{tmp_path}/{digest.__name__ == '<lambda>'}"
+        first = [(1, "a b"), (2, "c"), (3, None), (4, "c  "), (5, "e")]
+        second = [(6, "ab"), (7, "new"), (8, " "), (9, "c"), (0, "e")]
+        for k, data in enumerate((first, second)):
+            spark.createDataFrame(data, "doc_id long, text string").repartition(2).write.parquet(f"{folder}-in{k}")
+        one = exact.Store(spark, folder, digest, files=1).add(spark.read.parquet(f"{folder}-in0"), "one")
+        assert rows(one.select("doc_id", "keep_id", "group_size", "kept")) == brute_exact(first)
+        for _ in range(2):  # repeating a batch changes nothing
+            two = exact.Store(spark, folder, digest, files=1).add(spark.read.parquet(f"{folder}-in1").where("doc_id >= 0"), "two")
+            want = [r for r in brute_exact(first + second) if r[0] in (0, 6, 7, 8, 9)]
+            assert rows(two.select("doc_id", "keep_id", "group_size", "kept")) == want
+
+
+def test_offsets_are_those_of_the_text_itself(spark):
+    table = spark.createDataFrame([(i, f"İİİ {'vile' if i % 2 else 'kind'} w{i % 7}", None, None, None) for i in range(60)], DOCS)
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    found = toxicity.score(table, toxicity.fit(table, marks)).where("doc_id = 1").first()
+    assert [(s["from"], s["to"]) for s in found.spans] == [(4, 8)]
+
+
+def test_the_mix_is_the_same_again_whatever_the_files(spark, tmp_path):
+    rng = random.Random(3)
+    data = [(i, sentence(rng, 40), "en", "a" if i % 5 else "b", 0) for i in range(300)]
+    runs = []
+    for k in range(2):
+        spark.createDataFrame(data, DOCS).repartition(3, "doc_id").write.parquet(f"{tmp_path}/{k}")
+        out = mixing.mixed(spark.read.parquet(f"{tmp_path}/{k}"))
+        out.write.parquet(f"{tmp_path}/out{k}")
+        runs.append([r.doc_id for r in spark.read.parquet(f"{tmp_path}/out{k}").coalesce(1).collect()])
+    assert runs[0] == runs[1] and len(runs[0]) > 300
+
+
+def test_scores_that_could_overflow_are_refused(spark):
+    table = spark.createDataFrame([(1, [1e300, 1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="large components"):
+        bitslice.build_index(table)
+    small = bitslice.build_index(table.where("vec_id = 2"))
+    with pytest.raises(ValueError, match="large components"):
+        bitslice.search(small, table)
+
+
+def test_revisits_repeat_and_columns_clash(spark):
+    data = [(1, "http://x/a", 1, "response", '"v"', None, None, "b"), (1, "http://x/a", 1, "response", '"v"', None, None, "a")]
+    data += [(2, "http://x/a", 5, "revisit", '"v"', None, [(None, "q"), ("Date", "d")], None)] * 2
+    table = spark.createDataFrame(data, RECORDS)
+    for name in ("key", "slice", "found", "status", "first", "near", "response_id", "response_ts"):
+        table = table.withColumn(name, F.lit("x"))
+    got = warc.resolve(table).collect()
+    assert [(r.record_id, r.response_id, r.status, r.payload, [tuple(h) for h in r.headers]) for r in got] == [(2, 1, "merged", "a", [("Date", "d")])] * 2
+
+
+def test_a_hot_url_is_resolved(spark):
+    data = [(i, "http://x/a", i, "response" if i % 3 == 0 else "revisit", None, None, None, str(i)) for i in range(900)]
+    got = {r.record_id: r.response_id for r in warc.resolve(spark.createDataFrame(data, RECORDS).repartition(4)).collect()}
+    assert got == {i: (i - 1) // 3 * 3 for i in range(900) if i % 3}
+
+
+def test_repeated_vectors_and_clashing_columns(spark):
+    data = [(1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 1.0])]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for name in ("dims", "block", "copy", "number", "size"):
+        table = table.withColumn(name, F.lit(5))
+    got = rows(bitslice.search(bitslice.build_index(table, scale=1), table.where("vec_id in (1, 2)"), k=2, scale=1))
+    assert got == sorted([(1, 1, 2, 1), (1, 2, 3, 0), (1, 1, 2, 2), (1, 2, 3, 0), (2, 1, 1, 2), (2, 2, 1, 1)], key=repr)
+
+
+def test_rows_of_one_doc_id_are_written_apart(spark):
+    texts = [f"t{i}" for i in range(50)]
+    table = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = rows(records.read_records(records.write_records(table, new_folder(spark, "records"), tokenizer())))
+    ids = Encoder(tokenizer()).tokenizer
+    assert sorted(np.frombuffer(r[2], "<u4").tolist() for r in got) == sorted(ids.encode(t, add_special_tokens=False).ids + [2] for t in texts)
+    ends = sorted((r[1], r[1] + len(r[2]) // 4) for r in got)
+    assert [a for a, _ in ends] == [0, *(b for _, b in ends[:-1])]
+    assert all(a[0] is None for a in sorted(got, key=lambda r: r[1])[:25])

@@ -9,6 +9,7 @@ import gc
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +24,22 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Bytes of text that the Python operators hold as arrays at a time.
 SLICE_BYTES = 1 << 19
 
-ARROW_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: How rows reach Python functions: few of them and few bytes at a time, as texts may be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 _working: list[str] = []
+_scope: ContextVar[list[str] | None] = ContextVar("tables", default=None)
 _own_folder: str | None = None
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder in spark.checkpoint.dir; without it a temporary one, where driver and executors are one process."""
     global _own_folder
     base = spark.conf.get("spark.checkpoint.dir", "")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _own_folder is None:
         place = tempfile.mkdtemp(prefix="tributary-")
         atexit.register(shutil.rmtree, place, ignore_errors=True)
@@ -42,10 +47,35 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+class Tables:
+    """The working tables made inside its block; delete() them when what came from them is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Tables:
+        self._token = _scope.set(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _scope.reset(self._token)
+
+    def delete(self) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.pop())
+
+
+def _made() -> list[str]:
+    return _working if _scope.get() is None else _scope.get()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, remembered for release()."""
+    """A fresh path in the shared folder, one of the working tables of the block around it."""
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     path = f"{shared_folder(spark)}/tributary/{name}-{uuid.uuid4().hex}"
-    _working.append(path)
+    _made().append(path)
     return path
 
 
@@ -56,13 +86,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    # Python functions get few rows at a time, as texts may be long.
-    before = spark.conf.get(ARROW_ROWS, None)
-    spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(ARROW_ROWS) if before is None else spark.conf.set(ARROW_ROWS, before)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,22 +95,13 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete working tables, all but the first ``keep``.
-
-    Call it when the results that came from them have been written.
-    """
-    while len(_working) > keep:
-        delete(spark, _working.pop())
-
-
 def drop(df: DataFrame) -> None:
     """Delete a working table that nothing will read any more."""
+    made = _made()
     for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
-        known = [path for path in _working if folder.endswith(path.rpartition("/tributary/")[2])]
-        for path in known:
+        for path in [path for path in made if folder.endswith(path.rpartition("/tributary/")[2])]:
             delete(df.sparkSession, path)
-            _working.remove(path)
+            made.remove(path)
 
 
 def settle(spark: SparkSession) -> None:

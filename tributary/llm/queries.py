@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import bitslice, chat, exact, jaccard, mixing, packing, records, substring, toxicity, warc
-from tributary.llm.common import new_folder
+from tributary.llm.common import materialise, new_folder
 
 #: The vocabulary file, in the library of public vocabularies.
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,7 +26,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(own).alias("text"))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.read_back(chat.format_chat(turns), in_place=True).drop("in_order")
+    return chat.read_back(materialise(chat.format_chat(turns), "segments")).drop("in_order")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
