@@ -7,23 +7,38 @@ the working tables of the one before it are no longer needed and are deleted.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tributary.llm import exact, jaccard, mixing, packing, toxicity
-from tributary.llm.common import bounded_join, materialise, new_folder, release, settle, with_row
+from tributary.llm.common import Tables, bounded_join, delete, materialise, new_folder, settle, with_row
 from tributary.llm.queries import tokenizer
 
 
-def clean(spark: SparkSession) -> None:
-    """Delete what the stages before have left behind."""
-    release(spark)
-    settle(spark)
+_before: list[Tables] = []
+
+
+def stage(f: Callable) -> Callable:
+    """Run a stage with working tables of its own, those of the stage before it deleted."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _before:
+            _before.pop().delete()
+        settle(spark)
+        with Tables(spark) as tables:
+            _before.append(tables)
+            return f(spark, docs, sf_dir)
+
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below one half."""
-    clean(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     columns = docs.columns
     docs = with_row(docs)
@@ -32,27 +47,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bounded_join(docs, rejected, ["__f", "__r"], "left_anti", 24).select(columns)
 
 
+@stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is equal but for white space."""
-    clean(spark)
     return exact.keep_one(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words, similarity 0.8 or more."""
-    clean(spark)
     return jaccard.keep_one(docs, size=5, num=80, den=100)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once, those of small sources up to twice, in the order of the mix."""
-    clean(spark)
     return mixing.mixed(docs, repetition=2.0)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, with their ids and sequences."""
-    clean(spark)
     return packing.pack(docs, tokenizer())
 
 
@@ -69,15 +84,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the table documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    kept: list[str] = []
-    for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        if (name, stage) == STAGES[-1]:
-            return out
-        path = new_folder(spark, "stage").replace("/tributary/stage-", "/tributary-stages/stage-")
-        out.write.parquet(path)
-        kept.append(path)
-        docs = spark.read.parquet(path)
-    return docs
+    """Apply all stages to the table documents.  What a stage returned is deleted when the next has read it."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    _before.clear()
+    for name, function in STAGES:
+        out = function(spark, docs, sf_dir)
+        last = (name, function) == STAGES[-1]
+        if not last:
+            with Tables(spark):
+                read, path_ = path, new_folder(spark, "stage")
+            out.write.parquet(path_)
+            docs, path = spark.read.parquet(path_), path_
+        else:
+            # The pieces are tables by now; they no longer need the documents.
+            read = path
+        if read is not None:
+            delete(spark, read)
+    # The result is yet to be read, so its tables stay.
+    _before.clear()
+    return out
