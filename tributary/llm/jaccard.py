@@ -22,7 +22,7 @@ The boundary is the one of least cost: subsets enumerated below it, list entries
 scanned above it, both counted from the data.
 
 A list's sets are not paired with each other outright.  First each is compared
-with a pivot of its list, as often as this leaves fewer sets apart, and what
+with a pivot of its list, again as long as this halves the pairs left, and what
 links becomes one component.  What is left are pairs across components: sets
 outside a list's largest component against the others.  A pair is formed only
 where the shared element can be the first that both hold: both then have as many
@@ -62,7 +62,7 @@ MOST_LIGHT, MOST_SUBSETS = 40, 100_000
 RANGE, CHUNK, CHUNK_DOCS = 1 << 19, 1 << 20, 60_000
 #: Documents of a chunk from which an element's are sent as a number.
 OFTEN = 32
-#: Pivots are repeated while lists would make more pairs than so many times their entries.
+#: Pivots are taken while lists would make more pairs than so many times their entries, and each round halves them.
 PAIRS_PER_ENTRY = 2
 BITS = [f"b{i}" for i in range(4)]
 SHORT, CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -394,12 +394,14 @@ class Join:
         band = F.floor(F.log("n") / F.log(F.lit(den / num))).cast("int")
         self.listed = materialise(partners.withColumn("size_band", band), "partners")
         drop(entries)
-        entries, k = self.listed.count(), 0
+        enough, before, k = PAIRS_PER_ENTRY * self.listed.count(), None, 0
         rows = materialise(self.rooted(), "rooted")
-        while self.pairs_left(rows) > PAIRS_PER_ENTRY * entries and self.verify(self.pivots(rows, k, most)):
+        left = self.pairs_left(rows)
+        while left > enough and (before is None or 2 * left <= before) and self.verify(self.pivots(rows, k, most)):
             drop(rows)
             settle(self.docs.sparkSession)
             rows, k = materialise(self.rooted(), "rooted"), k + 1
+            before, left = left, self.pairs_left(rows)
         self.verify(self.across(rows, most))
 
     def rooted(self) -> DataFrame:
