@@ -51,24 +51,28 @@ def reversed_(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
 
 
+def _steps(edges: DataFrame, upstream: bool = False) -> DataFrame:
+    """The pairs of ends, written once for all rounds of a search."""
+    return cut((reversed_(edges) if upstream else edges.select("source", "target")).distinct())
+
+
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = TRACE_DEPTH, upstream: bool = False) -> DataFrame:
     """(origin, node, distance) of every node within depth of each origin, itself left out.
 
-    Without a depth it goes on until nothing new is met, with the lineage cut in each round.
+    Every round's frontier is written, so a round reads the edges once; while
+    the frontier is small it is broadcast and the edges stay where they are.
     """
-    steps = (reversed_(edges) if upstream else edges.select("source", "target")).distinct()
+    steps = _steps(edges, upstream)
     seen = starts.select(F.col("identity").alias("origin"), F.col("identity").alias("node"), F.lit(0).alias("distance"))
     frontier, k = seen, 0
     while depth is None or k < depth:
         k += 1
         met = frontier.join(steps, F.col("node") == F.col("source")).select("origin", F.col("target").alias("node")).distinct()
-        frontier = met.join(seen, ["origin", "node"], "left_anti").withColumn("distance", F.lit(k))
-        if depth is None or depth > TRACE_DEPTH:
-            frontier = cut(frontier)
-            if frontier.isEmpty():
-                break
+        frontier = cut(met.join(seen, ["origin", "node"], "left_anti").withColumn("distance", F.lit(k)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-        if depth is None and k % 5 == 0:
+        if k % 5 == 0:
             seen = cut(seen)
     return seen.where("distance > 0")
 
@@ -117,17 +121,33 @@ def roles(data: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def distance_importance(data: DataFrame, edges: DataFrame, base: DataFrame | None = None, depth: int | None = None) -> DataFrame:
-    """min(100, int(10 * (base + sum of 1.5 ** -distance over the data nodes downstream)))."""
-    reached = reach(edges, data.select("identity"), depth)
-    mine = data.select(F.col("identity").alias("node"))
-    sums = reached.join(mine, "node", "left_semi").groupBy("origin").agg(F.sum(names.decay(F.col("distance"))).alias("s"))
-    out = data.select("identity").join(sums.withColumnRenamed("origin", "identity"), "identity", "left")
-    own = F.lit(1.0)
+    """min(100, int(10 * (base + sum of 1.5 ** -distance over the data nodes downstream))).
+
+    An origin whose score has reached 100 takes no further part in the search:
+    what it would still meet can't change its score.
+    """
+    steps, mine = _steps(edges), data.select(F.col("identity").alias("node")).distinct()
+    own = data.select(F.col("identity").alias("origin"), F.lit(1.0).alias("s"))
     if base is not None:
-        out = out.join(base.select("identity", "base"), "identity", "left")
-        own = F.coalesce("base", F.lit(1.0))
-    score = F.least(F.lit(100), F.floor(F.round((own + F.coalesce("s", F.lit(0.0))) * 10, 9)))
-    return out.select("identity", score.cast("int").alias("importance_score"))
+        known = base.select(F.col("identity").alias("origin"), "base")
+        own = own.join(known, "origin", "left").select("origin", F.coalesce("base", "s").cast("double").alias("s"))
+    score = lambda s: F.least(F.lit(100), F.floor(F.round(s * 10, 9)))
+    sums = cut(own)
+    seen = data.select(F.col("identity").alias("origin"), F.col("identity").alias("node"))
+    frontier, k = seen, 0
+    while depth is None or k < depth:
+        k += 1
+        open_ = sums.where(score(F.col("s")) < 100).select("origin")
+        met = frontier.join(open_, "origin", "left_semi").join(steps, F.col("node") == F.col("source")).select("origin", F.col("target").alias("node")).distinct()
+        frontier = cut(met.join(seen, ["origin", "node"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        gained = frontier.join(mine, "node", "left_semi").groupBy("origin").agg((F.count(F.lit(1)) * names.decay(F.lit(k))).alias("gain"))
+        sums = cut(sums.join(gained, "origin", "left").select("origin", (F.col("s") + F.coalesce("gain", F.lit(0.0))).alias("s")))
+        seen = seen.unionByName(frontier)
+        if k % 5 == 0:
+            seen = cut(seen)
+    return sums.select(F.col("origin").alias("identity"), score(F.col("s")).cast("int").alias("importance_score"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
@@ -190,9 +210,11 @@ def executable(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return kept, induced(edges, kept)
 
 
-def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among the nodes."""
+def induced(edges: DataFrame, nodes: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """Edges with both ends among the nodes, of some types only if these are given."""
     ids = nodes.select("identity")
+    if types is not None:
+        edges = edges.where(F.col("type").isin(types))
     return edges.join(ids, edges["source"] == ids["identity"], "left_semi").join(ids, F.col("target") == ids["identity"], "left_semi")
 
 
@@ -207,8 +229,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
     done: DataFrame | None = None
     while not left.isEmpty():
         while True:
-            kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-            kept = cut(kept.join(kept.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
+            between = left.select(F.col("source").alias("identity")).intersect(left.select(F.col("target").alias("identity")))
+            kept = cut(induced(left, between))
             same = kept.count() == left.count()
             left = kept
             if same:
@@ -314,13 +336,17 @@ def depths(edges: DataFrame) -> DataFrame:
 def critical_path(edges: DataFrame) -> DataFrame:
     """(place, identity) along a longest path; ties go to the least identity."""
     best = depths(acyclic(edges))
-    at = best.orderBy(F.desc("depth"), "identity").limit(1).select(F.col("depth").alias("place"), "identity", "previous")
-    path = at
-    length = at.first()
-    for _ in range(length["place"] if length else 0):
-        at = cut(at.join(best.select(F.col("identity").alias("p"), F.col("depth"), F.col("previous").alias("pp")), F.col("previous") == F.col("p")).select((F.col("place") - 1).alias("place"), F.col("p").alias("identity"), F.col("pp").alias("previous")))
-        path = path.unionByName(at)
-    return path.select("place", "identity")
+    path = cut(best.orderBy(F.desc("depth"), "identity").limit(1).select("identity"))
+    jump = best.where("previous is not null").select("identity", "previous")
+    # Jumps double: each round adds as many nodes as the path has so far.
+    while True:
+        jump = cut(jump)
+        more = cut(path.join(jump, "identity").select(F.col("previous").alias("identity")))
+        if more.isEmpty():
+            break
+        path = path.unionByName(more)
+        jump = jump.join(jump.select(F.col("identity").alias("previous"), F.col("previous").alias("further")), "previous").select("identity", F.col("further").alias("previous"))
+    return best.join(path.distinct(), "identity", "left_semi").select(F.col("depth").alias("place"), "identity")
 
 
 def resolve_imports(edges: DataFrame, nodes: DataFrame) -> DataFrame:
