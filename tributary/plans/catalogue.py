@@ -27,10 +27,11 @@ def query(sql: str | None = None):
     return register
 
 
-def _trace_sql(depth: int, up: bool = False, start: str = START) -> str:
+def _trace_sql(depth: int | None, up: bool = False, start: str = START) -> str:
+    within = f" where w.distance < {depth}" if depth is not None else ""
     a, b = ("target", "source") if up else ("source", "target")
     return with_("edges", recursive=True) + f""", walk(node, distance) as (
-  select '{start}', 0 union select e.{b}, w.distance + 1 from walk w join edges e on e.{a} = w.node where w.distance < {depth}),
+  select '{start}', 0 union select e.{b}, w.distance + 1 from walk w join edges e on e.{a} = w.node{within}),
 reached as (select node, min(distance) as distance from walk group by node having min(distance) > 0)"""
 
 
@@ -59,12 +60,12 @@ def unified_lineage(spark, sf):
     return graph.unified(derived.lineage_edges(spark, sf), "customer:7")
 
 
-@query(_trace_sql(10) + " select node from reached")
+@query(_trace_sql(None) + " select node from reached")
 def blast_radius_set(spark, sf):
     return graph.trace(derived.lineage_edges(spark, sf), START, depth=None).select("node")
 
 
-WEIGHTED = _trace_sql(10) + """, scored as (
+WEIGHTED = _trace_sql(None) + """, scored as (
   select node, cast(distance as int) as distance, round(case when node like 'customer:%' then 3 else 1 end * pow(1.5, -distance), 2) as impact,
     round(greatest(0.3, 1.0 - 0.2 * distance), 2) as confidence from reached)"""
 
@@ -376,7 +377,7 @@ def module_complexity(spark, sf):
     return aggregates.module_complexity(l.select(F.concat("l_returnflag", "l_linestatus").alias("path"), F.col("l_linenumber").alias("complexity")))
 
 
-@query("""select 'order:' || l_orderkey as target, list_sort(list(distinct 'part:' || l_partkey)) as sources from lineitem where l_orderkey % 11 = 0 group by 1""".replace("list_sort(list(distinct 'part:' || l_partkey)) as sources", "array_to_string(list_sort(list(distinct 'part:' || l_partkey)), ',') as sources"))
+@query("""select 'order:' || l_orderkey as target, array_to_string(list_sort(list(distinct 'part:' || l_partkey)), ',') as sources from lineitem group by 1""")
 def column_lineage_merge(spark, sf):
     rows = table(spark, sf, "lineitem").select(derived._id("order", "l_orderkey").alias("target"), derived._id("part", "l_partkey").alias("source"))
     return aggregates.merge_column_lineage(rows).select("target", F.array_join("sources", ",").alias("sources"))
@@ -615,13 +616,17 @@ def mermaid_lines(spark, sf):
     return reports.mermaid(nodes, e)
 
 
-@query(with_("evt") + " select 'edges' as section, source || '>' || target as item from evt")
+@query(with_("evt", recursive=True) + """, reach(a, b) as (select source, target from evt where source <> target union select r.a, e.target from reach r join evt e on e.source = r.b),
+groups as (select x.a as identity, least(x.a, min(x.b)) as component from reach x join reach y on x.a = y.b and x.b = y.a where x.a <> x.b group by x.a),
+nodes as (select distinct source as identity from evt)
+select 'edges' as section, source || '>' || target as item from evt union all select 'groups', component || '>' || identity from groups
+union all select 'nodes', identity from nodes union all select 'hubs', identity from (select identity from nodes order by identity limit 10)""")
 def module_graph_export(spark, sf):
     e = derived.event_edges(spark, sf)
     nodes = e.select(F.col("source").alias("identity")).distinct().withColumn("pagerank_score", F.lit(0.0))
-    lines = reports.module_graph_json(nodes, e, graph.strong_components(e)).where("section = 'edges'")
-    item = F.concat_ws(">", F.get_json_object("json", "$.source"), F.get_json_object("json", "$.target"))
-    return lines.select("section", item.alias("item"))
+    lines = reports.module_graph_json(nodes, e, graph.strong_components(e))
+    part = lambda name: F.get_json_object("json", f"$.{name}")
+    return lines.select("section", F.concat_ws(">", part("source"), part("target"), part("component"), part("identity")).alias("item"))
 
 
 # Incremental
@@ -720,58 +725,65 @@ def product_edges(spark, sf):
     return extract.product_edges(corpus.sql_files(spark)).select("source", "target")
 
 
-@query()
+@query(corpus.FUNCTIONS_SQL)
 def python_functions(spark, sf):
-    return extract.apply_udtf(corpus.python_files(spark), extract.PythonFunctions)
+    return extract.apply_udtf(corpus.python_files(spark), extract.PythonFunctions).withColumn("decorators", F.array_join("decorators", ","))
 
 
-@query()
+@query(corpus.IMPORTS_SQL)
 def python_imports(spark, sf):
     return extract.apply_udtf(corpus.python_files(spark), extract.PythonImports)
 
 
-@query()
+@query(corpus.CLASSES_SQL)
 def python_classes(spark, sf):
-    return extract.apply_udtf(corpus.python_files(spark), extract.PythonClasses)
+    return extract.apply_udtf(corpus.python_files(spark), extract.PythonClasses).withColumn("bases", F.array_join("bases", ","))
 
 
-@query()
+@query(corpus.CONSTANTS_SQL)
 def python_constants(spark, sf):
     return extract.apply_udtf(corpus.python_files(spark), extract.PythonConstants)
 
 
+@query(corpus.SIGNATURES_SQL)
+def python_signatures(spark, sf):
+    return extract.apply_udtf(corpus.python_files(spark), extract.PythonHashes).select("path", "signature_hash")
+
+
 @query()
 def python_hashes(spark, sf):
     return extract.apply_udtf(corpus.python_files(spark), extract.PythonHashes)
 
 
-@query()
+@query(corpus.SUMMARIES_SQL)
 def module_summaries(spark, sf):
     files = corpus.python_files(spark).withColumn("language", names.language(F.col("path")))
     parts = [extract.apply_udtf(files, f) for f in (extract.PythonFunctions, extract.PythonClasses, extract.PythonImports, extract.PythonConstants, extract.PythonDocstring)]
-    return reports.module_summaries(files, *parts)
+    found = reports.module_summaries(files, *parts)
+    joined = [F.coalesce(F.array_join(c, ","), F.lit("")).alias(c) for c in ("functions", "classes", "imports", "constants")]
+    return found.select("path", "language", F.col("line_range.start").alias("first"), F.col("line_range.end").alias("last"), "docstring", *joined)
 
 
-@query()
+@query(corpus.IO_SQL)
 def python_io_edges(spark, sf):
     return extract.python_edges(corpus.python_files(spark))
 
 
-@query()
+@query(corpus.YAML_SQL)
 def yaml_sources(spark, sf):
     return extract.yaml_edges(corpus.yaml_files(spark))
 
 
-@query()
+@query(corpus.COLUMNS_SQL)
 def sql_column_lineage(spark, sf):
     return sql_lineage.analyse(spark, corpus.models(), corpus.SCHEMAS)["columns"]
 
 
-@query()
+@query(corpus.OPERATIONS_SQL)
 def sql_operations(spark, sf):
     return sql_lineage.analyse(spark, corpus.models(), corpus.SCHEMAS)["operations"]
 
 
-@query()
+@query(corpus.EDGES_SQL)
 def sql_lineage_edges(spark, sf):
     return sql_lineage.analyse(spark, corpus.models(), corpus.SCHEMAS)["edges"]

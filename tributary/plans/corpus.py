@@ -71,4 +71,73 @@ READ_SQL = (
     + ")"
 )
 PRODUCT_SQL = _F + r" select path as source, 'table:' || regexp_extract(path, '([^/]+)\.sql$', 1) as target from f"
-AIRFLOW_SQL = "select * from (values ('extract', 'clean'), ('clean', 'publish'), ('clean', 'audit')) t(source, target)"
+# Tasks on a line of arrows follow each other, and so do those of set_downstream.
+AIRFLOW_SQL = (
+    _values(PYTHON_FILES)
+    + r""", lines as (select unnest(string_split(c, chr(10))) as line from f where c like '%airflow%'),
+chains as (select string_split(line, '>>') as p from lines where line like '%>>%'),
+places as (select p, unnest(range(1, len(p))) as i from chains)
+select trim(p[i]) as source, trim(p[i + 1]) as target from places
+union select regexp_extract(line, '(\w+)\.set_downstream', 1), regexp_extract(line, 'set_downstream\((\w+)\)', 1) from lines where line like '%set_downstream%'"""
+)
+
+
+def _rows(columns: str, *rows: tuple) -> str:
+    """The rows that reading the files by hand gives, as SQL."""
+    told = lambda x: "null" if x is None else str(x).lower() if isinstance(x, bool) else f"{x}::double" if isinstance(x, float) else str(x) if isinstance(x, int) else x[4:] if x.startswith("sql:") else "'" + x.replace("'", "''") + "'"
+    return f"select * from (values {', '.join('(' + ', '.join(map(told, r)) + ')' for r in rows)}) t({columns})"
+
+
+_REPORT, _DB, _JOB, _DAG = "jobs/report.py", "jobs/db.py", "jobs/spark_job.py", "dags/daily.py"
+FUNCTIONS_SQL = _rows("path, name, signature, docstring, complexity, is_nested, decorators, line", (_REPORT, "run", "run(self, day)", "Read and write.", 4, False, "", 11))
+IMPORTS_SQL = _rows(
+    "path, name, type, line",
+    *[(path, name, "python_import", line) for path, name, line in ((_DAG, "airflow", 1), (_DB, "sqlalchemy", 1), (_REPORT, "pandas", 1), (_REPORT, "numpy", 2), (_REPORT, "os.path", 2), (_REPORT, "lib.paths", 3))],
+)
+CLASSES_SQL = _rows("path, name, bases, line", (_REPORT, "Job", "Base,lib.Mixin", 8))
+CONSTANTS_SQL = _rows("path, name, value", (_REPORT, "ROOT", "s3://bucket"), (_DB, "engine", None), (_JOB, "df", None))
+SUMMARIES_SQL = _rows(
+    "path, language, first, last, docstring, functions, classes, imports, constants",
+    (_DAG, "py", 1, 5, "sql:null::varchar", "", "", "airflow", ""),
+    (_DB, "py", 1, 5, None, "", "", "sqlalchemy", "engine"),
+    (_REPORT, "py", 1, 23, None, "run", "Job", "lib.paths,numpy,os.path,pandas", "ROOT"),
+    (_JOB, "py", 1, 3, None, "", "", "", "df"),
+)
+_call = lambda text: "sql:substr(sha256('" + text.replace("'", "''") + "'), 1, 16)"
+IO_SQL = _rows(
+    "source, target, type, confidence_score, line_number, logic_hash, source_module",
+    ("s3://bucket/data.csv", _REPORT, "PYTHON_READ", 0.7, 21, _call("pd.read_csv(f'{ROOT}/data.csv')"), _REPORT),
+    (_REPORT, "out.parquet", "PYTHON_WRITE", 1.0, 22, _call("df.to_parquet('out.parquet')"), _REPORT),
+    *[(f"postgresql:{t}", _DB, "PYTHON_READ", 0.4, 4, _call("engine.execute('SELECT * FROM people JOIN sales ON 1 = 1')"), _DB) for t in ("people", "sales")],
+    ("input.parquet", _JOB, "PYTHON_READ", 1.0, 1, _call("spark.read.parquet('input.parquet')"), _JOB),
+    (_JOB, "output.parquet", "PYTHON_WRITE", 1.0, 2, _call("df.write.mode('overwrite').save('output.parquet')"), _JOB),
+)
+YAML_SQL = _rows("source, target, type, confidence_score, source_module", *[("models/schema.yml", f"raw.{t}", "DBT_SOURCE", 1.0, "models/schema.yml") for t in ("sales", "returns")])
+# Signatures: classes and functions with their arguments, in order; none is the hash of nothing.
+SIGNATURES_SQL = _rows("path, signature_hash", (_REPORT, "sql:sha256('class:Job|func:run(self,day)')"), *[(x, "sql:sha256('')") for x in (_DB, _JOB, _DAG)])
+_S, _P, _T = "models/stg_sales.sql", "models/staging/stg_people.sql", "models/marts/totals.sql"
+COLUMNS_SQL = _rows(
+    "path, target, source",
+    *[(_S, c, f"__dbt_source_raw_sales__.{c}") for c in ("id", "amount")],
+    *[(_P, c, f"__dbt_source_crm_person_list__.{c}") for c in ("id", "name")],
+    (_T, "name", "__dbt_ref_stg_people__.name"),
+    *[(_T, c, "__dbt_ref_stg_sales__.amount") for c in ("total", "size")],
+    ("jobs/load.sql", "id", "staging.a.id"),
+)
+OPERATIONS_SQL = _rows(
+    "path, type, join_type, function",
+    ("jobs/load.sql", "JOIN", "INNER", None), (_T, "JOIN", "LEFT", None), (_T, "GROUP_BY", None, None), (_T, "AGGREGATION", None, "sum"), (_P, "FILTER", None, None),
+)
+EDGES_SQL = _rows(
+    "source, target, type, confidence_score, origin_analyzer",
+    ("__dbt_source_raw_sales__", "cte:stg_sales.src", "SQL_INTERNAL", 1.0, "sql"),
+    ("cte:stg_sales.src", _S, "SQL_SCOPE_FLOW", 0.9, "sql"),
+    ("sales", _S, "DBT_SOURCE", 1.0, "sql"),
+    ("list", _P, "DBT_SOURCE", 1.0, "sql"),
+    *[(t, _T, "DBT_REF", 1.0, "sql") for t in ("stg_sales", "stg_people")],
+    ("__dbt_ref_totals__", "models/marts/ranked.sql", "SQL_READ", 0.3, "sql"),
+    *[(t, "jobs/load.sql", "SQL_READ", 1.0, "sql") for t in ("staging.a", "staging.b")],
+    ("stg_sales", "jobs/macro.sql", "DBT_REF", 1.0, "sql"),
+    *[(t, "jobs/broken.sql", "SQL_READ", 0.3, "sql") for t in ("WHERE", "lost_table")],
+    *[(path, "table:" + path.split("/")[-1][:-4], "SQL_PRODUCT", 1.0, "sql") for path, _ in SQL_FILES],
+)
