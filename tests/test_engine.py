@@ -181,3 +181,169 @@ def test_stream_keeps_an_index(spark, tmp_path):
     stream = spark.readStream.schema("identity string, content string").json(str(src))
     live.incremental_index(stream, read, write, str(tmp_path / "c")).awaitTermination()
     assert read().count() == 2
+
+
+def test_column_lineage_without_schemas(spark):
+    models = [
+        ("a.sql", "with src as (select * from raw.sales), more as (select * from src) select id, amount as total from more where day > 1"),
+        ("b.sql", "select x.total, y.name, x.id + y.age as both from {{ ref('a') }} x join people y on x.id = y.id"),
+        ("c.sql", "select name, count(*) as n from people group by name"),
+        ("d.sql", "select p.name from (select name, id from people) p join {{ ref('a') }} a on p.id = a.id"),
+    ]
+    got = {tuple(r) for r in sql_lineage.analyse(spark, models)["columns"].collect()}
+    assert got >= {("a.sql", "id", "raw.sales.id"), ("a.sql", "total", "raw.sales.amount"), ("b.sql", "total", "__dbt_ref_a__.total"), ("b.sql", "name", "people.name")}
+    assert got >= {("b.sql", "both", "__dbt_ref_a__.id"), ("b.sql", "both", "people.age"), ("c.sql", "name", "people.name"), ("d.sql", "name", "people.name")}
+
+
+def test_a_macro_in_place_of_columns_keeps_the_table(spark):
+    e = sql_lineage.analyse(spark, [("m.sql", "select {{ cents('x') }} from {{ ref('stg') }}")])["edges"]
+    assert ("stg", "m.sql", "DBT_REF") in {(r.source, r.target, r.type) for r in e.collect()}
+
+
+def test_constants_of_other_files_are_shared(spark):
+    from tributary.operators import extract
+
+    texts = [("a.py", "base = 's3://x'\n"), ("b.py", "import pandas as pd\nfrom a import base\npd.read_csv(f'{base}/f.csv')\n"), ("c.py", "import pandas as pd\npd.read_csv(basement)\n")]
+    made = spark.createDataFrame(texts, "path string, content string")
+    constants = extract.apply_udtf(made, extract.PythonConstants).selectExpr("name", "value", "path as seq")
+    assert [(r.source, r.target, r.confidence_score) for r in extract.python_edges(made, constants).collect()] == [("s3://x/f.csv", "b.py", 0.7)]
+
+
+def test_drift_is_told_where_there_is_a_docstring(found):
+    m = {r.identity: r.documentation_drift for r in found.modules.collect()}
+    assert m["helper.py"] is not None and m["README.md"] is None
+
+
+def test_the_catalogue_names_what_was_written(spark, found, tmp_path):
+    found.write(str(tmp_path))
+    rows_ = spark.read.json(str(tmp_path / "catalogue")).collect()
+    assert {"modules", "lineage_edges", "overview", "lineage_chart"} <= {r.artifact for r in rows_}
+    assert all(r.git_commit == found.sha and r.analysis_version and r.generated for r in rows_)
+    import os
+
+    assert all(os.path.exists(r.path) for r in rows_)
+    chart = spark.read.text(str(tmp_path / "lineage_chart")).collect()
+    assert chart[0].value == "flowchart LR" and any("-->" in r.value for r in chart)
+
+
+def test_the_command_line(spark, repo, capsys, tmp_path):
+    from tributary.__main__ import main
+
+    assert main(["version"]) == 0
+    assert main(["lineage", repo, "stg_sales"]) == 0
+    assert main(["impact", repo, "helper.py"]) == 0
+    assert main(["query", repo, "explain helper.py"]) == 0
+    assert main(["analyze", repo, str(tmp_path / "out")]) == 0
+    said = capsys.readouterr().out
+    assert "load_sales.py" in said and "explain_module" in said and (tmp_path / "out" / "modules").exists()
+
+
+def test_names_with_pattern_letters_are_read(spark, tmp_path):
+    for name in ("a[1].py", "b{x}.sql", "c*.py"):
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".git" / "big").write_bytes(b"\xff" * 10)
+    assert {r.identity for r in files.scan(spark, str(tmp_path)).collect()} == {"a[1].py", "b{x}.sql", "c*.py"}
+
+
+def test_a_clone_that_cannot_pull_is_made_anew(repo, tmp_path):
+    import pathlib
+    import shutil
+
+    to = pathlib.Path(files.clone(f"file://{repo}", str(tmp_path)))
+    assert (to / "helper.py").exists()
+    shutil.rmtree(to / ".git")
+    (to / "helper.py").unlink()
+    assert files.clone(f"file://{repo}", str(tmp_path)) == str(to) and (to / "helper.py").exists()
+    assert files.clone(f"file://{repo}", str(tmp_path)) == str(to)
+
+
+def test_stored_things_are_read(spark, tmp_path):
+    nodes = spark.createDataFrame([("a",), ("b",)], "identity string")
+    edges = spark.createDataFrame([("a", "b")], "source string, target string")
+    files.write_graph(nodes, edges, str(tmp_path / "g"))
+    assert [x.count() for x in files.read_graph(spark, str(tmp_path / "g"))] == [2, 1]
+    (tmp_path / "list.json").write_text('{"nodes": [{"identity": "a"}], "edges": [{"source": "a", "target": "b"}]}')
+    (tmp_path / "kinds.json").write_text('{"data_nodes": [{"identity": "a"}], "other_nodes": [{"identity": "b", "x": 1}], "edges": [{"source": "a", "target": "b"}]}')
+    assert [x.count() for x in files.read_graph(spark, str(tmp_path / "list.json"))] == [1, 1]
+    assert [x.count() for x in files.read_graph(spark, str(tmp_path / "kinds.json"))] == [2, 1]
+    assert files.read_table(spark, str(tmp_path / "none"), "a long").count() == 0
+    (tmp_path / "o.json").write_text('[{"module": "a", "domain": "d"}]')
+    assert [(r.module, r.domain) for r in files.read_overrides(spark, str(tmp_path / "o.json")).collect()] == [("a", "d")]
+    (tmp_path / "t.jsonl").write_text('{"agent": "x", "event_type": "t"}\nbroken\n')
+    assert [r.agent for r in files.read_trace(spark, str(tmp_path / "t.jsonl")).collect()] == ["x"]
+    (tmp_path / "artifacts").mkdir()
+    (tmp_path / "artifacts" / "old_brief.md").write_text("x")
+    assert files.artifact(str(tmp_path), {}, "brief", "brief.md").endswith("old_brief.md")
+    assert files.artifact(str(tmp_path), {"brief": "o.json"}, "brief", "brief.md").endswith("o.json")
+    assert files.evidence(spark.createDataFrame([("a", "abcdef")], "path string, content string"), 3).first().evidence == "abc"
+
+
+def test_changes_since_a_commit(spark, repo):
+    first = subprocess.run(["git", "-C", repo, "rev-list", "--max-parents=0", "HEAD"], capture_output=True, text=True, check=True).stdout.strip()
+    assert {r.path for r in files.changed_since(spark, repo, first).collect()} == {"old name.py"}
+
+
+def test_changed_modules_are_found(spark, found):
+    engine = Engine(spark)
+    assert engine.changed(found, found).count() == 0
+
+
+def test_providers_are_retried_and_follow_each_other(spark):
+    from tributary.operators import providers
+
+    class Busy(Exception):
+        status_code = 429
+
+    waits, calls = [], []
+
+    def flaky(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise Busy
+        return [t.upper() for t in texts]
+
+    assert providers.call(flaky, ["a"], wait=waits.append) == ["A"] and waits == [1.0, 2.0]
+
+    def broken(texts):
+        calls.append(1)
+        raise ValueError
+
+    calls.clear()
+    assert providers.cascade([broken, lambda t: ["x"] * len(t)])(["a", "b"]) == ["x", "x"] and len(calls) == 1
+    made = spark.createDataFrame([("a", "p"), ("b", None)], "identity string, purpose string")
+
+    def none(texts):
+        raise ValueError
+
+    assert {tuple(r.embedding) for r in providers.embed(made, [none], 2).collect()} == {(0.0, 0.0)}
+    samples = spark.createDataFrame([("Cluster_0", k, f"p{k}", "x") for k in range(1, 13)], "domain string, place int, path string, purpose string")
+    assert rows(providers.name_domains(samples)) == [("Cluster_0", "Cluster_0")]
+    assert rows(providers.name_domains(samples, lambda texts: [str(len(t.splitlines())) for t in texts])) == [("Cluster_0", "10")]
+
+
+def test_a_budget_bounds_what_is_described(spark):
+    made = spark.createDataFrame([(f"m{i}", "word " * 4000, ["f"], []) for i in range(4)], "path string, docstring string, functions array<string>, imports array<string>")
+
+    def describe(frame):
+        return frame[["path"]].assign(purpose="said", confidence=0.9)
+
+    got = {r.path: r.purpose for r in semantic.purposes(made, describe, budget=0.001).collect()}
+    assert [got[f"m{i}"] == "said" for i in range(4)] == [True, True, False, False]
+
+
+def test_the_brief_cites_its_evidence(found):
+    text = found.brief_text()
+    assert "helper.py" in text and "[helper.py:4]" in text and "[README.md:1]" in text
+
+
+def test_small_functions(spark):
+    from tributary.functions import names
+    from tributary.operators import graph
+
+    r = spark.sql("select 's3://x/Y.parquet' as a, timestamp'2024-01-02 03:04:05' as t, cast(null as timestamp) as n")
+    got = r.select(names.resolve_canonical(F.col("a")).alias("plain"), names.resolve_canonical(F.col("a"), {"s3://x/Y.parquet": "mine"}).alias("own"), names.clock_label(F.col("t")).alias("t"), names.clock_label(F.col("n")).alias("n")).first()
+    assert tuple(got) == ("y", "mine", "2024-01-02 03:04:05", "—")
+    e = spark.createDataFrame([("a", "b", "x"), ("b", "a", "y"), ("a", "c", "x")], "source string, target string, type string")
+    nodes = spark.createDataFrame([("a",), ("b",)], "identity string")
+    assert rows(graph.induced(e, nodes, ["x"])) == [("a", "b", "x")]

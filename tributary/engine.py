@@ -35,7 +35,7 @@ class Analysis:
         return {k: v for k, v in vars(self).items() if isinstance(v, DataFrame)}
 
     def write(self, folder: str) -> None:
-        """Every table as Parquet, the two graphs as JSON lines, and the overview as text."""
+        """Every table as Parquet, the two graphs as JSON lines, the overview and a flowchart as text, and a catalogue of all these."""
         for name, df in self.tables().items():
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
         groups = graph.strong_components(self.module_edges)
@@ -45,6 +45,11 @@ class Analysis:
         lines.write.mode("overwrite").json(f"{folder}/lineage_graph_json")
         text = self.modules.sparkSession.createDataFrame([(self.overview(),)], "value string")
         text.coalesce(1).write.mode("overwrite").text(f"{folder}/overview")
+        brief = self.modules.sparkSession.createDataFrame([(self.brief_text(),)], "value string")
+        brief.coalesce(1).write.mode("overwrite").text(f"{folder}/brief")
+        reports.write_mermaid(self.data_nodes, self.lineage_edges, f"{folder}/lineage_chart")
+        written = [*self.tables(), "module_graph_json", "lineage_graph_json", "overview", "brief", "lineage_chart"]
+        reports.catalogue(self.modules.sparkSession, self.sha, folder, written).coalesce(1).write.mode("overwrite").json(f"{folder}/catalogue")
 
     def sections(self) -> dict[str, DataFrame]:
         """The overview's tables, each in its order."""
@@ -61,6 +66,11 @@ class Analysis:
     def overview(self) -> str:
         return reports.overview(self.sections())
 
+    def brief_text(self) -> str:
+        """The day-one brief as a document, with evidence cited by file and line."""
+        counts = {"modules": self.modules.count(), "module_edges": self.module_edges.count(), "datasets": self.data_nodes.count(), "transformations": self.transformations.count(), "lineage_edges": self.lineage_edges.count()}
+        return semantic.brief_text(semantic.packets(self.modules, self.functions), counts)
+
     def brief(self, k: int = 5) -> DataFrame:
         counts = {"modules": self.modules.count(), "module_edges": self.module_edges.count(), "datasets": self.data_nodes.count()}
         return semantic.day_one(self.modules, counts, k)
@@ -106,7 +116,8 @@ class Engine:
         modules = modules.join(purpose, "path", "left")
         vectors = cut(modules.select("identity", "purpose_confidence", semantic.hashed_embedding(F.col("purpose")).alias("embedding")))
         modules = modules.join(semantic.cluster(vectors), "identity", "left").join(vectors.select("identity", "embedding"), "identity")
-        modules = modules.withColumn("documentation_drift", F.lit(None).cast("boolean"))
+        said = described.where("docstring is not null").select("path", semantic.hashed_embedding(F.col("docstring")).alias("docstring_embedding"))
+        modules = semantic.drift(modules.join(said, "path", "left").withColumn("purpose_embedding", F.col("embedding"))).drop("docstring_embedding", "purpose_embedding")
         stale = None
         if overrides is not None:
             modules, stale = aggregates.apply_overrides(modules, overrides)
@@ -184,9 +195,18 @@ class Engine:
             return graph.weighted_impact(found.module_edges, found.modules, start[0] if start else word).orderBy("distance", "node")
         if tool == "explain_module":
             return self.explain(found, word)
+        asked = self.spark.range(1).select(semantic.hashed_embedding(F.lit(question)).alias("v")).first()["v"]
+        near = semantic.vector_search(found.modules, asked).where("similarity > 0").select("identity", F.col("similarity").alias("score"))
+        if not near.isEmpty():
+            return near
         parts = [(F.col("purpose"), 3), (F.col("path"), 2), (F.col("identity"), 1)]
         return semantic.keyword_search(found.modules, question, parts)
 
+    def lineage(self, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The data lineage of a repository by itself: datasets, transformations, edges."""
+        found = self.analyze(root)
+        return found.data_nodes, found.transformations, found.lineage_edges
+
     def explain(self, found: Analysis, module: str) -> DataFrame:
         """Static summary: ten fields, the first ten functions."""
         own = found.functions.groupBy("path").agg(F.slice(F.sort_array(F.collect_set("signature")), 1, 10).alias("functions"))

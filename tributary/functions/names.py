@@ -263,6 +263,19 @@ def clone_name(url: Column) -> Column:
     return F.substring(F.md5(url), 1, 8)
 
 
+def resolve_canonical(raw: Column, mapping: dict[str, str] | None = None) -> Column:
+    """The short name that a mapping of one's own gives, else the usual one."""
+    own = F.lit(None).cast("string")
+    for name, canonical in (mapping or {}).items():
+        own = F.when(raw == name, canonical).otherwise(own)
+    return F.coalesce(own, short_name(raw))
+
+
+def clock_label(ts: Column) -> Column:
+    """A time as a reader sees it; a dash where there is none."""
+    return F.coalesce(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit("—"))
+
+
 def short_label(path: Column) -> Column:
     """The last two parts of a path."""
     parts = F.split(path, "/")

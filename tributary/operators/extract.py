@@ -249,15 +249,17 @@ def python_edges(files: DataFrame, constants: DataFrame | None = None) -> DataFr
     """Typed read and write edges of Python files (path, content).
 
     constants: name, value, seq of all files; of several values the last counts.
-    They form one map, so only names in capitals are shared.
+    A file gets those whose names it holds as words.
     """
     spark = files.sparkSession
     spark.udtf.register("python_dataflow", PythonDataflow)
     shared = F.create_map().cast("map<string,string>")
     rows = files.where(F.col("path").endswith(".py"))
     if constants is not None:
-        last = constants.where("value is not null").where(F.col("name").rlike("^[A-Z_][A-Z0-9_]*$")).groupBy("name").agg(F.max_by("value", "seq").alias("value"))
-        rows = rows.crossJoin(F.broadcast(last.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("shared"))))
+        last = constants.where("value is not null").groupBy("name").agg(F.max_by("value", "seq").alias("value"))
+        words = rows.select("path", F.explode(F.array_distinct(all_of(F.col("content"), r"\b([A-Za-z_]\w*)"))).alias("name"))
+        held = words.join(last, "name").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("shared"))
+        rows = rows.join(held, "path", "left").withColumn("shared", F.coalesce("shared", shared))
     else:
         rows = rows.withColumn("shared", shared)
     rows.createOrReplaceTempView("__python_files")

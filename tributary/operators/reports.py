@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Version of what an analysis computes.
+ANALYSIS = "2"
+
+
 def header(spark, sha: str, count: int) -> DataFrame:
     return spark.createDataFrame([(sha, count)], "git_commit string, modules int").withColumn("generated", F.current_timestamp())
 
 
+def catalogue(spark, sha: str, folder: str, artifacts: list[str]) -> DataFrame:
+    """One row for each artifact: its name and path, commit, schema and analysis version, and time."""
+    rows = spark.createDataFrame([(a, f"{folder}/{a}", sha) for a in artifacts], "artifact string, path string, git_commit string")
+    return rows.withColumn("schema_version", F.lit("1")).withColumn("analysis_version", F.lit(ANALYSIS)).withColumn("generated", F.current_timestamp())
+
+
 def sources_and_sinks(data: DataFrame, k: int = 10) -> DataFrame:
     columns = ["role", "name", "system", "environment", "namespace"]
     first = data.where("role = 'SOURCE'").orderBy("name").limit(k)
@@ -88,6 +98,12 @@ def mermaid_text(nodes: DataFrame, edges: DataFrame) -> str:
     return "\n".join(["flowchart LR", *[r["line"] for r in rows]])
 
 
+def write_mermaid(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """The flowchart of a graph of any size as text files, in order: nodes, then edges."""
+    first = nodes.sparkSession.createDataFrame([("", "flowchart LR")], "part string, line string")
+    first.unionByName(mermaid(nodes, edges)).orderBy("part", "line").select("line").write.mode("overwrite").text(folder)
+
+
 def trace_tail(events: DataFrame, k: int = 100, order: str = "seq") -> DataFrame:
     return events.orderBy(F.desc(order)).limit(k)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tributary.functions import names
+from tributary.operators.aggregates import budget_gate
 
 DRIFT = 0.65
 
@@ -66,9 +67,12 @@ def cluster_samples(rows: DataFrame, most: int = 10, key: str = "identity") -> D
     return rows.withColumn("place", F.row_number().over(place)).where(F.col("place") <= most)
 
 
-def purposes(modules: DataFrame, describe: Callable | None = None, batch: int = 10) -> DataFrame:
+def purposes(modules: DataFrame, describe: Callable | None = None, batch: int = 10, budget: float | None = None) -> DataFrame:
     """Purpose and confidence of every module, from ``describe`` or by rule.
 
+    With a budget, ``describe`` sees modules in order of path as long as the cost
+    of those before, estimated by their texts, stays below it.
+
     ``describe`` maps a pandas frame of at most ``batch`` rows (path, docstring,
     functions, imports) to one of path, purpose, confidence; what it leaves out
     or null is filled by rule.
@@ -83,12 +87,37 @@ def purposes(modules: DataFrame, describe: Callable | None = None, batch: int =
             for at in range(0, len(frame), batch):
                 yield describe(frame.iloc[at : at + batch])
 
-    said = modules.select("path", "docstring", "functions", "imports").mapInPandas(run, "path string, purpose string, confidence double")
+    asked = modules.select("path", "docstring", "functions", "imports")
+    if budget is not None:
+        text = F.concat_ws(" ", "path", "docstring", F.array_join("functions", " "), F.array_join("imports", " "))
+        costs = modules.select(F.col("path").alias("seq"), names.token_cost(names.token_estimate(text)).alias("cost"))
+        asked = asked.join(budget_gate(costs, budget).where("allowed").select(F.col("seq").alias("path")), "path", "left_semi")
+    said = asked.mapInPandas(run, "path string, purpose string, confidence double")
     said = said.withColumnsRenamed({"purpose": "p", "confidence": "c"})
     out = plain.join(said, "path", "left")
     return out.select("path", F.coalesce("p", "r.purpose").alias("purpose"), F.when(F.col("p").isNull(), F.col("r.confidence")).otherwise(F.coalesce("c", F.lit(0.5))).alias("confidence"))
 
 
+def packets(modules: DataFrame, functions: DataFrame, most: int = 20, each: int = 3) -> DataFrame:
+    """Evidence for a brief: the first modules by rank that have a purpose, with the first lines of up to three functions.
+
+    functions: path, name, line.
+    """
+    top = modules.where("purpose is not null").orderBy(F.desc("pagerank_score"), "identity").limit(most).select("identity", "path", "purpose", "pagerank_score")
+    nth = Window.partitionBy("path").orderBy("line", "name")
+    first = functions.join(F.broadcast(top.select("path")), "path", "left_semi").withColumn("nth", F.row_number().over(nth)).where(F.col("nth") <= each)
+    cited = first.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "line"))), lambda x: x["line"]).alias("lines"))
+    lines = F.coalesce("lines", F.array(F.lit(1)))
+    return top.join(cited, "path", "left").select("identity", "purpose", "pagerank_score", F.transform(lines, lambda n: F.concat(F.lit("["), F.col("path"), F.lit(":"), n.cast("string"), F.lit("]"))).alias("evidence")).orderBy(F.desc("pagerank_score"), "identity")
+
+
+def brief_text(found: DataFrame, counts: dict[str, int]) -> str:
+    """The brief as a document; found: packets(), at most as many rows as these allow."""
+    lines = ["# Day-one brief", "", "## What was analysed", "", *[f"- {k.replace('_', ' ')}: {v}" for k, v in counts.items()], "", "## Modules by rank", ""]
+    lines += [f"- **{r['identity']}**: {r['purpose']} {' '.join(r['evidence'])}" for r in found.collect()]
+    return "\n".join(lines) + "\n"
+
+
 def day_one(modules: DataFrame, counts: dict[str, int], k: int = 5) -> DataFrame:
     """The brief without a language model: the first k modules by rank, with the graph's counts."""
     rows = modules.orderBy(F.desc("pagerank_score"), "identity").limit(k)

@@ -20,11 +20,15 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     Files that are no UTF-8 are left out.
     """
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    read = spark.read.format("binaryFile")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), "^" + _quoted(base) + "/", "")
-    files = raw.select(path.alias("identity"), F.expr("try_validate_utf8(cast(content as string))").alias("content"))
     pruned = "(^|/)(" + "|".join(p.replace(".", r"\.") for p in PRUNED) + ")/"
-    files = files.where(~F.col("identity").rlike(pruned) & (names.basename(F.col("identity")) != ".gitkeep") & F.col("content").isNotNull())
+    # Names first, as what is left out may be large; then the content of the rest.
+    there = read.option("recursiveFileLookup", True).load(base).select("path", path.alias("identity"))
+    there = there.where(~F.col("identity").rlike(pruned) & (names.basename(F.col("identity")) != ".gitkeep"))
+    kept = [_unglobbed(r["path"]) for r in there.select("path").toLocalIterator()]
+    raw = read.load(kept) if kept else spark.createDataFrame([], "path string, content binary")
+    files = raw.select(path.alias("identity"), F.expr("try_validate_utf8(cast(content as string))").alias("content")).where("content is not null")
     return files.select(
         "identity",
         F.col("identity").alias("path"),
@@ -35,6 +39,13 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _unglobbed(path: str) -> str:
+    """A path whose letters stand for themselves in a reader's pattern."""
+    import re
+
+    return re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+
+
 def _quoted(text: str) -> str:
     import re
 
@@ -109,13 +120,15 @@ def changed_since(spark: SparkSession, root: str, sha: str) -> DataFrame:
 
 
 def clone(url: str, folder: str) -> str:
-    """Clone, shallow, to a folder named by the URL's hash; pull if it is there."""
+    """Clone, shallow, to a folder named by the URL's hash; pull if it is there, and clone anew if that fails."""
     import hashlib
+    import shutil
     from pathlib import Path
 
     to = Path(folder) / hashlib.md5(url.encode()).hexdigest()[:8]
-    if to.exists() and _git(str(to), "pull", "--ff-only") or to.exists():
+    if to.exists() and subprocess.run(["git", "-C", str(to), "pull", "--ff-only"], capture_output=True, check=False, timeout=180).returncode == 0:
         return str(to)
+    shutil.rmtree(to, ignore_errors=True)
     subprocess.run(["git", "clone", "--depth", "1", url, str(to)], check=True, capture_output=True, timeout=180)
     return str(to)
 

@@ -23,9 +23,23 @@ def trace_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 mi
     return windowed.agg(F.count(F.lit(1)).alias("events"), F.avg("duration_ms").alias("mean_ms")).select(F.col("window.start").alias("start"), "agent", "event_type", "events", "mean_ms")
 
 
+# The kinds of events; others are marked, not refused.
+EVENTS = (
+    "GRAPH_NODE_CREATED", "GRAPH_EDGE_CREATED", "FILE_PARSED", "SEMANTIC_ENRICHMENT", "LINEAGE_EXTRACTED",
+    "LINEAGE_CONFLICT", "DEAD_CODE_DETECTED", "ARTIFACT_GENERATED", "ERROR",
+)
+#: Events of a file, some 50 MB, after which the next is begun.
+FILE_EVENTS = 200_000
+
+
+def with_known(events: DataFrame) -> DataFrame:
+    """Events with known_event, whether their kind is one of EVENTS."""
+    return events.withColumn("known_event", F.coalesce(F.col("event_type").isin(*EVENTS), F.lit(False)))
+
+
 def append_trace(events: DataFrame, folder: str, checkpoint: str):
-    """Append a stream of events as JSON lines; files rotate by batch."""
-    return events.writeStream.format("json").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Append a stream of events as JSON lines; files rotate by batch and by number of events."""
+    return with_known(events).writeStream.format("json").option("maxRecordsPerFile", FILE_EVENTS).option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def incremental_index(files: DataFrame, read: Callable[[], DataFrame], write: Callable[[DataFrame], None], checkpoint: str):
