@@ -565,3 +565,67 @@ def test_rows_of_one_doc_id_are_written_apart(spark):
     ends = sorted((r[1], r[1] + len(r[2]) // 4) for r in got)
     assert [a for a, _ in ends] == [0, *(b for _, b in ends[:-1])]
     assert all(a[0] is None for a in sorted(got, key=lambda r: r[1])[:25])
+
+
+def brute_mix(table, repetition, seed=17):
+    """Exponent, budgets, passes and positions of mix(), computed anew in plain Python from the rows' hashes."""
+    rows_ = with_row(table).select(
+        "doc_id", "source", "__f", "__r", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
+        F.xxhash64("doc_id", "text", F.coalesce("source", F.lit(""))).alias("own"),
+    ).collect()
+    spark = table.sparkSession
+    totals = {}
+    for r in rows_:
+        totals[r.source or ""] = totals.get(r.source or "", 0) + r.words + 1
+    most = max(totals.values())
+    low, high = 0, 1 << 36
+    while high - low > 1:
+        mid = (low + high) // 2
+        flat = max((t / most) ** (mid / 2.0**36) / (t / most) for t in totals.values()) > repetition
+        low, high = (mid, high) if flat else (low, mid)
+    weights = {s: (t / most) ** (high / 2.0**36) for s, t in totals.items()}
+    budget = {s: max(t, math.floor(most * weights[s] + 1e-6)) for s, t in totals.items()}
+    blocks = {s: -(-t // mixing.BLOCK_TOKENS) for s, t in totals.items()}
+
+    def hashed(expression, data, schema):
+        made = spark.createDataFrame(data, schema).withColumn("h", F.expr(expression)).collect()
+        return [r.h for r in made]
+
+    deal = hashed(f"xxhash64({seed}, own, r)", [(r.own, r[3]) for r in rows_], "own long, r long")
+    held = {}
+    for r, h in zip(rows_, deal):
+        held.setdefault((r.source or "", h % blocks[r.source or ""]), []).append(r)
+    out = []
+    for s in totals:
+        own = [k for k in held if k[0] == s]
+        for epoch in range(max(1, -(-budget[s] // totals[s]))):
+            order = dict(zip(own, hashed(f"xxhash64({seed}, e, s, d)", [(epoch, s, k[1]) for k in own], "e long, s string, d long")))
+            at = epoch * totals[s]
+            for k in sorted(own, key=lambda k: (order[k], k[1])):
+                inside = hashed(f"xxhash64({seed}, e, own, r)", [(epoch, r.own, r[3]) for r in held[k]], "e long, own long, r long")
+                for _, r in sorted(zip(inside, held[k]), key=lambda x: (x[0], x[1].own, x[1][3])):
+                    if at < budget[s]:
+                        out.append((r.doc_id, s, r.words + 1, epoch, at))
+                    at += r.words + 1
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("ranged", [False, True])
+def test_mixing_against_brute_force(spark, tmp_path, monkeypatch, ranged):
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 200)
+    if ranged:
+        monkeypatch.setattr(mixing, "RANGE_BLOCKS", 4)
+    rng = random.Random(12)
+    data = [(i, sentence(rng, rng.randrange(60)) if i % 9 else None, "en", ("big", "big", "mid", "small", None)[min(4, rng.randrange(12) // 2)], 0) for i in range(400)]
+    spark.createDataFrame(data, DOCS).repartition(3).write.parquet(f"{tmp_path}/docs")
+    table = spark.read.parquet(f"{tmp_path}/docs")
+    got = rows(mixing.mix(table, repetition=2.0).select("doc_id", "source", "n_tokens", "epoch", "position"))
+    assert got == brute_mix(table, 2.0)
+
+
+def test_a_hot_element_and_many_ranges_lose_no_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RANGE", 64)
+    monkeypatch.setattr(jaccard, "CHUNK", 500)
+    monkeypatch.setattr(jaccard, "OFTEN", 2)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", 0)
+    test_jaccard_against_brute_force(spark, 3, 80)

@@ -1,13 +1,15 @@
 """The registered queries against their SQL, and the pipeline's promises, on small tables."""
 
 import re
-from collections import Counter
+import zlib
 
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tributary.llm import toxicity
+from tributary.llm import queries, toxicity
 from tributary.llm.common import new_folder
 from tributary.llm.queries import ORACLES, QUERIES
 
@@ -44,15 +46,64 @@ def test_held_out_toxicity(spark):
     assert right >= 0.9 * len(truth)
 
 
+def ids_of_all(spark, sf, end):
+    library = Tokenizer.from_file(queries.tokenizer())
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    return {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids + [end] for r in texts}
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
 def test_packing_of_all_documents(spark):
-    from tributary.llm.queries import op3_pack
-
-    pieces = op3_pack(spark, SF).collect()
-    totals = Counter()
-    for p in pieces:
-        totals[p.doc_id] += p.length
-    assert all(totals[p.doc_id] == p.doc_tokens for p in pieces)
-    assert set(totals) == {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    ids = ids_of_all(spark, SF, 1)
+    pieces, ends = QUERIES["op3_pack"](spark, SF).collect(), {}
+    covered = dict.fromkeys(ids, 0)
+    for p in sorted(pieces, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == covered[p.doc_id] and p.length > 0 and p.doc_tokens == len(ids[p.doc_id])
+        assert p.ids_crc32 == crc(ids[p.doc_id][p.start : p.start + p.length])
+        covered[p.doc_id] += p.length
+    assert covered == {k: len(v) for k, v in ids.items()}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == ends.get(p.sequence_id, 0)
+        ends[p.sequence_id] = p.offset + p.length
+    assert max(ends.values()) <= 2048 and len(ends) * 2048 < 1.02 * sum(ends.values()) + 2048 * 4
+
+
+def test_records_of_all_documents(spark):
+    ids = ids_of_all(spark, SF, 2)
+    got, start = {r.doc_id: r for r in QUERIES["op6_token_records"](spark, SF).collect()}, 0
+    assert set(got) == set(ids)
+    for k in sorted(ids):
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids[k]), crc(ids[k]))
+        start += len(ids[k])
+
+
+def test_toxicity_of_all_documents(spark):
+    got = QUERIES["op4_toxicity"](spark, SF).collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_run_is_whole_repeatable_and_leaves_nothing(spark):
+    found = [sorted((r.sequence_id, r.offset, r.doc_id, r.start, bytes(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2)]
+    assert found[0] and found[0] == found[1]
+
+
+def test_stages_on_an_empty_table_and_on_nulls(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a b", None, None, None), (-1, "", "x", "y", 0)], docs.schema)
+    odd.write.parquet(f"{tmp_path}/odd")
+    for name, made in (("empty", docs.limit(0)), ("odd", spark.read.parquet(f"{tmp_path}/odd"))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, made, SF)
+            out.write.parquet(f"{tmp_path}/{name}{k}")
+            made = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if k < 4:
+                assert made.columns == docs.columns and made.count() >= (0 if name == "empty" else 2)
+        assert made.agg({"length": "sum"}).first()[0] is None if name == "empty" else made.count() >= 2
 
 
 def test_pipeline_stage_by_stage(spark):
