@@ -2,10 +2,12 @@
 
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from test_ops import brute_jaccard, brute_mix
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -46,6 +48,10 @@ def test_held_out_toxicity(spark):
     assert right >= 0.9 * len(truth)
 
 
+def queries_encoder(text):
+    return Tokenizer.from_file(queries.tokenizer()).encode(text or "", add_special_tokens=False).ids + [1]
+
+
 def ids_of_all(spark, sf, end):
     library = Tokenizer.from_file(queries.tokenizer())
     texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
@@ -124,8 +130,22 @@ def test_pipeline_stage_by_stage(spark):
         if k == 1:
             plain = [re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in out.collect()]
             assert len(plain) == len(set(plain)) == len({re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in docs.collect()})
+        if k == 2:
+            texts = {r.doc_id: r.text for r in docs.collect()}
+            groups = brute_jaccard(texts, 5, 80, 100)
+            assert sorted(r.doc_id for r in out.collect()) == sorted({component for _, _, component in groups})
         if k == 3:
-            assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect()}
+            assert sorted(r.doc_id for r in out.collect()) == sorted(d for d, *_ in brute_mix(docs, 2.0))
+            held = {r.doc_id: r.text for r in out.collect()}
+        if k == 4:
+            ids = {d: queries_encoder(t) for d, t in held.items()}
+            covered = Counter()
+            for p in out.collect():
+                part = np.frombuffer(p.ids, f"<u{p.id_bytes}").tolist()
+                assert part == ids[p.doc_id][p.start : p.start + p.length] and p.doc_tokens == len(ids[p.doc_id])
+                covered[p.doc_id] += p.length
+            times = Counter(r.doc_id for r in docs.collect())
+            assert covered == {d: n * len(ids[d]) for d, n in times.items()}
         docs = out
     assert kept[0] >= kept[1] > kept[2] >= kept[3] <= kept[4]
     assert docs.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 2048").count() == 0
