@@ -38,8 +38,10 @@ def stage(f: Callable) -> Callable:
 
 @stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below one half."""
+    """Documents whose toxicity score is below one half; all of them where there are no labels of both classes to learn from."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if not model.weights:
+        return docs
     columns = docs.columns
     docs = with_row(docs)
     scored = toxicity.score(docs, model, ("__f", "__r"))
