@@ -22,8 +22,8 @@ The boundary is the one of least cost: subsets enumerated below it, list entries
 scanned above it, both counted from the data.
 
 A list's sets are not paired with each other outright.  First each is compared
-with a pivot of its list, again as long as this halves the pairs left, and what
-links becomes one component.  What is left are pairs across components: sets
+with the most like of a few pivots of its lists, again as long as this leaves much
+fewer pairs, and what links becomes one component.  What is left are pairs across components: sets
 outside a list's largest component against the others.  A pair is formed only
 where the shared element can be the first that both hold: both then have as many
 elements from there on as the overlap needs.  That, sizes and bitmaps of the sets
@@ -62,8 +62,10 @@ MOST_LIGHT, MOST_SUBSETS = 40, 100_000
 RANGE, CHUNK, CHUNK_DOCS = 1 << 19, 1 << 20, 60_000
 #: Documents of a chunk from which an element's are sent as a number.
 OFTEN = 32
-#: Pivots are taken while lists would make more pairs than so many times their entries, and each round halves them.
+#: Pivots are taken while lists would make more pairs than so many times their entries, and a round leaves at most three in four of them.
 PAIRS_PER_ENTRY = 2
+#: Pivots of a list in a round.
+PIVOTS = 8
 BITS = [f"b{i}" for i in range(4)]
 SHORT, CHECK = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -397,7 +399,7 @@ class Join:
         enough, before, k = PAIRS_PER_ENTRY * self.listed.count(), None, 0
         rows = materialise(self.rooted(), "rooted")
         left = self.pairs_left(rows)
-        while left > enough and (before is None or 2 * left <= before) and self.verify(self.pivots(rows, k, most)):
+        while left > enough and (before is None or 4 * left <= 3 * before) and self.verify(self.pivots(rows, k, most)):
             drop(rows)
             settle(self.docs.sparkSession)
             rows, k = materialise(self.rooted(), "rooted"), k + 1
@@ -421,9 +423,11 @@ class Join:
         """Each set with the pivot most like it among its lists' pivots, from other components."""
         num, den = self.num, self.den
         on = ["tok", "size_band"]
-        pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "pos", "root")).alias("p")
-        picked = rows.groupBy(on).agg(F.min("root").alias("least"), F.max("root").alias("last"), pick).where("least <> last")
-        flat = materialise(picked.select(*on, *[F.col(f"p.{c}").alias(f"p{c}") for c in ("cid", "n", "pos", "root")]), "picked")
+        picks = [F.min(F.struct(F.xxhash64("cid", F.lit(k * PIVOTS + i)).alias("h"), "cid", "n", "pos", "root")).alias(f"p{i}") for i in range(PIVOTS)]
+        picked = rows.groupBy(on).agg(F.min("root").alias("least"), F.max("root").alias("last"), *picks).where("least <> last")
+        told = [F.struct(*[F.col(f"p{i}.{c}").alias(c) for c in ("cid", "n", "pos", "root")]) for i in range(PIVOTS)]
+        flat = picked.select(*on, F.explode(F.array_distinct(F.array(*told))).alias("p"))
+        flat = materialise(flat.select(*on, *[F.col(f"p.{c}").alias(f"p{c}") for c in ("cid", "n", "pos", "root")]), "picked")
         own = _renamed(rows, "o", tuple(on))
         fits = (F.col("oroot") != F.col("proot")) & (F.greatest("on", "pn") > most) & _reachable("o", "p", num, den)
         met = own.join(flat, on).where(fits).select("ocid", "pcid").distinct()
