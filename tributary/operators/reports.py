@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 #: Version of what an analysis computes.
@@ -28,10 +29,17 @@ def sources_and_sinks(data: DataFrame, k: int = 10) -> DataFrame:
     return first.select(columns).unionByName(data.where("role = 'TERMINAL'").orderBy("name").limit(k).select(columns))
 
 
-def inventory(modules: DataFrame) -> DataFrame:
+@F.udf(StringType())
+def _three_places(x):
+    """As printf('%.3f') has it: from the exact binary value, with the sign of -0.0, nan and inf; null of null."""
+    return None if x is None else f"{x:.3f}"
+
+
+def inventory(modules: DataFrame, unknown: str | None = "Unknown") -> DataFrame:
+    """One row for each module; unknown stands for a domain that is null."""
     mark = F.when(F.col("documentation_drift"), "⚠").when(~F.col("documentation_drift"), "✅").otherwise("—")
-    domain = F.coalesce("domain", F.lit("Unknown"))
-    return modules.select(domain.alias("domain"), "path", F.format_string("%.3f", "pagerank_score").alias("pagerank"), mark.alias("drift"), "purpose").orderBy("domain", "path")
+    domain = F.coalesce("domain", F.lit(unknown))
+    return modules.select(domain.alias("domain"), "path", _three_places(F.col("pagerank_score").cast("double")).alias("pagerank"), mark.alias("drift"), "purpose").orderBy("domain", "path")
 
 
 def debt(modules: DataFrame) -> DataFrame:
