@@ -629,3 +629,18 @@ def test_a_hot_element_and_many_ranges_lose_no_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "OFTEN", 2)
     monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", 0)
     test_jaccard_against_brute_force(spark, 3, 80)
+
+
+def test_jaccard_rounds_carry_only_lists_of_several_components(spark, monkeypatch):
+    rounds, inner = [], jaccard.Join.pairs_left
+
+    def counted(self, held):
+        of = [len({r.root for r in part}) for part in held.groupBy("tok").agg(F.collect_list(F.struct("root")).alias("x")).toPandas()["x"]]
+        rounds.append((held.count(), min(of, default=2)))
+        return inner(self, held)
+
+    monkeypatch.setattr(jaccard.Join, "pairs_left", counted)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_ENTRY", 0)
+    test_jaccard_against_brute_force(spark, 3, 80)
+    assert len(rounds) > 1 and all(least > 1 for _, least in rounds)
+    assert rounds[-1][0] < rounds[0][0]

@@ -23,7 +23,8 @@ scanned above it, both counted from the data.
 
 A list's sets are not paired with each other outright.  First each is compared
 with the most like of a few pivots of its lists, again as long as this leaves much
-fewer pairs, and what links becomes one component.  What is left are pairs across components: sets
+fewer pairs, and what links becomes one component.  A list whose sets are all in one
+component is left out from then on.  What is left are pairs across components: sets
 outside a list's largest component against the others.  A pair is formed only
 where the shared element can be the first that both hold: both then have as many
 elements from there on as the overlap needs.  That, sizes and bitmaps of the sets
@@ -397,21 +398,31 @@ class Join:
         self.listed = materialise(partners.withColumn("size_band", band), "partners")
         drop(entries)
         enough, before, k = PAIRS_PER_ENTRY * self.listed.count(), None, 0
-        rows = materialise(self.rooted(), "rooted")
+        rows = self.rooted(self.listed)
         left = self.pairs_left(rows)
         while left > enough and (before is None or 4 * left <= 3 * before) and self.verify(self.pivots(rows, k, most)):
-            drop(rows)
             settle(self.docs.sparkSession)
-            rows, k = materialise(self.rooted(), "rooted"), k + 1
+            rows, k = self.rooted(rows), k + 1
             before, left = left, self.pairs_left(rows)
         self.verify(self.across(rows, most))
 
-    def rooted(self) -> DataFrame:
-        """List entries with the component found so far."""
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        """Entries of the lists that still hold several components, with the component found so far.
+
+        The rows given, those of the round before, are deleted.  Components only grow,
+        so a list that holds one has nothing left to find in any later round.
+        """
         if self.links is None:
-            return self.listed.withColumn("root", F.col("cid"))
+            return rows.withColumn("root", F.col("cid"))
         roots = materialise(components(self.links), "roots")
-        return self.listed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        named = rows.drop("root").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        named = materialise(named, "named")
+        drop(rows)
+        several = named.groupBy("tok").agg(F.min("root").alias("least"), F.max("root").alias("last")).where("least <> last").select("tok")
+        # Written, so that the join deals both sides itself and can split a hot key.
+        open_ = materialise(named.join(materialise(several, "several"), "tok"), "rooted")
+        drop(named)
+        return open_
 
     def pairs_left(self, rows: DataFrame) -> int:
         """Pairs that across() would look at, but for what sizes, places and bitmaps rule out."""
